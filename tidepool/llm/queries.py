@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hash_ring import assign
+from .mixing import temperature_mix
 from .packing import pack
+from .quality_rules import quality
 from .runtime import table
 from .token_counts import token_counts
 
@@ -18,6 +21,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix(table(spark, sf_dir, "documents"), max_repetition=2.0)
+
+
+def op3_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -27,7 +42,7 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_token_counts, op7_cost_balanced_packing)
+    f.__name__: f for f in (op1_tokeniser_fertility, op2_temperature_mixing, op3_bounded_load_ring, op6_token_counts, op7_cost_balanced_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
