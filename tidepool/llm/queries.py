@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .hash_ring import assign
+from .html_text import extract
+from .language_id import identify
 from .mixing import temperature_mix
 from .packing import pack
 from .quality_rules import quality
@@ -33,6 +35,10 @@ def op3_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -41,8 +47,12 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tokeniser_fertility, op2_temperature_mixing, op3_bounded_load_ring, op6_token_counts, op7_cost_balanced_packing)
+    f.__name__: f for f in (op1_tokeniser_fertility, op2_temperature_mixing, op3_bounded_load_ring, op5_language_id, op6_token_counts, op7_cost_balanced_packing, op10_html_extraction)
 }
 
 ORACLE_SQL: dict[str, str] = {}
