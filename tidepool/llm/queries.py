@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .hash_ring import assign
 from .html_text import extract
+from .imatch import fingerprints
 from .language_id import identify
 from .mixing import temperature_mix
 from .packing import pack
@@ -35,6 +36,10 @@ def op3_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tokeniser_fertility, op2_temperature_mixing, op3_bounded_load_ring, op5_language_id, op6_token_counts, op7_cost_balanced_packing, op10_html_extraction)
+    f.__name__: f for f in (op1_tokeniser_fertility, op2_temperature_mixing, op3_bounded_load_ring, op4_imatch, op5_language_id, op6_token_counts, op7_cost_balanced_packing, op10_html_extraction)
 }
 
 ORACLE_SQL: dict[str, str] = {}
