@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .hash_ring import assign
 from .html_text import extract
 from .imatch import fingerprints
+from .jaccard_join import classes
 from .language_id import identify
 from .mixing import temperature_mix
 from .packing import pack
@@ -52,12 +53,16 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tokeniser_fertility, op2_temperature_mixing, op3_bounded_load_ring, op4_imatch, op5_language_id, op6_token_counts, op7_cost_balanced_packing, op10_html_extraction)
+    f.__name__: f for f in (op1_tokeniser_fertility, op2_temperature_mixing, op3_bounded_load_ring, op4_imatch, op5_language_id, op6_token_counts, op7_cost_balanced_packing, op8_jaccard_join, op10_html_extraction)
 }
 
 ORACLE_SQL: dict[str, str] = {}
