@@ -11,6 +11,7 @@ from .html_text import extract
 from .imatch import fingerprints
 from .jaccard_join import classes
 from .language_id import identify
+from .language_model import perplexity
 from .mixing import temperature_mix
 from .packing import pack
 from .quality_rules import quality
@@ -57,12 +58,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tokeniser_fertility, op2_temperature_mixing, op3_bounded_load_ring, op4_imatch, op5_language_id, op6_token_counts, op7_cost_balanced_packing, op8_jaccard_join, op10_html_extraction)
+    f.__name__: f for f in (op1_tokeniser_fertility, op2_temperature_mixing, op3_bounded_load_ring, op4_imatch, op5_language_id, op6_token_counts, op7_cost_balanced_packing, op8_jaccard_join, op9_kneser_ney, op10_html_extraction)
 }
 
 ORACLE_SQL: dict[str, str] = {}
