@@ -142,7 +142,6 @@ class Transducer:
         self.length = np.ones(vocab.size + 1, dtype=np.int32)
         for t, text in vocab.tokens.items():
             self.length[t] = len(text)
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.cls = np.full(0x110000, UNKNOWN, dtype=np.int8)
         self._clear()
 
@@ -174,7 +173,7 @@ class Transducer:
         got = self.allows.get((before, node))
         if got is None:
             own = self.token_at[node]
-            got = tuple(i for i in range(lo, hi) if self.order[i] != own and self._pair(before, self.order[i]))
+            got = tuple(i for i in range(lo, hi) if self.order[i] != own and self.vocab.compatible(before, self.order[i]))
             self.allows[before, node] = got = self.interned.setdefault(got, got)
         return got
 
@@ -190,14 +189,6 @@ class Transducer:
         self.states: list[tuple] = [start, ()]
         self.known: dict[tuple, int] = {start: 0}
 
-    def _pair(self, left: int, right: int) -> bool:
-        got = self.pairs.get((left, right))
-        if got is None:
-            if len(self.pairs) > 4_000_000:
-                self.pairs.clear()
-            got = self.pairs[left, right] = self.vocab.compatible(left, right)
-        return got
-
     def _compile(self, state: int, byte: int) -> None:
         best, open_ = None, []
         for node, allowed, count in self.states[state]:
@@ -211,7 +202,7 @@ class Transducer:
                 lo, hi = self.low[nxt] + (t >= 0), self.high[nxt]
                 before = tuple(i for i in allowed if lo <= i < hi)
             else:
-                own = t >= 0 and (allowed is None or self._pair(allowed, t))
+                own = t >= 0 and (allowed is None or self.vocab.compatible(allowed, t))
                 if allowed is not None and self.grows[nxt]:
                     before = self._allowed(allowed, nxt)
             if own and best is None:
