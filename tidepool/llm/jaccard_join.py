@@ -283,3 +283,18 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     ids = near.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = near.join(ids.withColumnRenamed("root", "_root"), (near["root"] == F.col("_root")) & (near["n"] > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """One document of each component, that with the smallest id, with all its columns.
+
+    Of several rows with that id one stays, the least by text and then by the
+    other columns.  Rows without words are nobody's duplicates and stay, and so
+    do rows without an id, which can't be named.
+    """
+    keep = classes(docs, rule).filter((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rest = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    first = docs.filter(worded).join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
+    one = first.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns))
+    return one.unionByName(docs.filter(~worded | F.col("doc_id").isNull()))
