@@ -14,11 +14,17 @@ from tidepool.sources import event_rows, synthetic, table
 
 BANDS, BATCH, CHUNK, TTL_MS, HEAL_FROM = 16, 200, 5, 6 * 3600 * 1000, 20.0
 
-CONTRACT = contract.ColumnContract(fields={"n": F.get_json_object("props", "$.k").cast("int")}, accept=F.col("event_type") != "error")
-HEALING = contract.ColumnContract(
-    fields={"n": F.get_json_object("props", "$.k").cast("int"), "event_type": F.when(F.col("event_type") == "error", "repaired").otherwise(F.col("event_type"))},
-    accept=F.col("value") >= HEAL_FROM,
-)
+
+def accepting() -> contract.ColumnContract:
+    """Refuses events of type error."""
+    return contract.ColumnContract(fields={"n": F.get_json_object("props", "$.k").cast("int")}, accept=F.col("event_type") != "error")
+
+
+def healing() -> contract.ColumnContract:
+    """Repairs events of type error, from a value of HEAL_FROM on."""
+    repaired = F.when(F.col("event_type") == "error", "repaired").otherwise(F.col("event_type"))
+    return contract.ColumnContract(fields={"n": F.get_json_object("props", "$.k").cast("int"), "event_type": repaired}, accept=F.col("value") >= HEAL_FROM)
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,7 +63,7 @@ def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CONTRACT.apply(_banded(spark, sf_dir))
+    return accepting().apply(_banded(spark, sf_dir))
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +260,7 @@ def dlq_ignore(spark, sf_dir):
 
 @_query(f"SELECT k, 'repaired' AS event_type, value, n FROM r WHERE value >= {HEAL_FROM}")
 def dlq_upsert_heal(spark, sf_dir):
-    done = dead_letters.process(_letters(spark, sf_dir), "upsert", heal=HEALING.apply)
+    done = dead_letters.process(_letters(spark, sf_dir), "upsert", heal=healing().apply)
     return done.written.select(F.col("key").alias("k"), "event_type", "value", "n")
 
 
@@ -266,4 +272,4 @@ def dlq_reinsert(spark, sf_dir):
 
 @_query(f"SELECT count(*) AS processed, count(*) FILTER (WHERE value >= {HEAL_FROM}) AS succeeded, count(*) FILTER (WHERE NOT value >= {HEAL_FROM}) AS failed FROM r")
 def dlq_result(spark, sf_dir):
-    return dead_letters.process(_letters(spark, sf_dir), "upsert", heal=HEALING.apply).counts
+    return dead_letters.process(_letters(spark, sf_dir), "upsert", heal=healing().apply).counts
