@@ -17,13 +17,14 @@ SALTS = 64
 def ring(shards: int, virtual_nodes: int) -> list[int]:
     """The shard that owns each cell: that of the next virtual node clockwise.
 
-    A node's place is a hash of its shard and number alone, so another shard
-    takes cells over and moves none between the old ones.
+    A node's place is a hash of its shard and number, or the next free cell after
+    those of lower shards, so another shard takes cells over and moves none
+    between the old ones.
     """
     cells = 1 << CELL_BITS
     at: dict[int, int] = {}
-    for node in range(virtual_nodes):
-        for shard in range(shards):
+    for shard in range(shards):
+        for node in range(virtual_nodes):
             p = int.from_bytes(hashlib.md5(f"{shard}/{node}".encode()).digest()[:8]) % cells
             while p in at and len(at) < cells:
                 p = (p + 1) % cells
