@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -263,10 +263,12 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rarity = spark.sparkContext.broadcast(count)  # SKETCH bytes
     sets = members.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
 
-    prefixes = _prefixes(docs, rule, rarity)
-    twice = Window.partitionBy("gram")
-    shared = prefixes.repartition("gram").withColumn("lo", F.min("sig").over(twice)).withColumn("hi", F.max("sig").over(twice)).filter("lo <> hi").select("gram", "sig", "n", "pos")
-    posts = written(spark, shared, "jaccard-posts")
+    # n-grams that two classes have in their prefixes; the counting is done before the shuffle
+    # as far as a task sees them, and the join can split a hot n-gram over tasks
+    prefixes = written(spark, _prefixes(docs, rule, rarity), "jaccard-prefixes")
+    shared = prefixes.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").select("gram")
+    posts = written(spark, prefixes.join(shared, "gram", "left_semi"), "jaccard-posts")
+    dropped(spark, prefixes)
 
     links, roots = None, None
     for k in range(LEADER_ROUNDS + 1):
