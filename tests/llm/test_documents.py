@@ -200,8 +200,9 @@ def test_one_of_each_class_stays(spark):
 
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(-5, -9)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, -5: -9, -9: -9}
+    for size in (1 << 20, 20):
+        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), size).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, -5: -9, -9: -9}
 
 
 # -- language model ---------------------------------------------------------------

@@ -35,7 +35,7 @@ from .vectors import SCHEMA, merged, packed
 SKETCH = 1 << 22
 SUFFIX_BINS = 32
 #: Rounds with leaders before the one that verifies all pairs left.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 #: Bits of the filter that says which texts' sets are asked for: 8 MB.
 ASKED_BITS = 1 << 26
 
@@ -116,12 +116,16 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, rule: Rule, rarity) -> DataFrame:
-    """gram, sig, n, pos for the prefix of each set; a task gives a set once."""
+    """gram, sig, n, pos, holder for the prefix of each set; a task gives a set once.
+
+    holder: the hash of the id of a document that has the set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, t in slices(batch.column(1)):
+            for first, last, t in slices(batch.column(1)):
+                holder = np.asarray(batch.column(0).slice(first, last - first))
                 grams, off = shingle_sets(t, rule.words)
                 sig, n = signatures(grams, off), np.diff(off)
                 new = np.zeros(t.n, dtype=bool)
@@ -138,9 +142,9 @@ def _prefixes(docs: DataFrame, rule: Rule, rarity) -> DataFrame:
                 begin = np.searchsorted(row, np.arange(t.n))
                 pos = np.arange(len(grams)) - begin[row]
                 take = pos < rule.prefix(n)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[take].view(np.int64)), pa.array(sig[row[take]].view(np.int64)), pa.array(n[row[take]].astype(np.int32)), pa.array(pos[take].astype(np.int32))], names=["gram", "sig", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[take].view(np.int64)), pa.array(sig[row[take]].view(np.int64)), pa.array(n[row[take]].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(holder[row[take]])], names=["gram", "sig", "n", "pos", "holder"])
 
-    return docs.mapInArrow(run, "gram long, sig long, n int, pos int")
+    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "gram long, sig long, n int, pos int, holder long")
 
 
 def _possible(rule: Rule, a: str, b: str) -> Column:
@@ -153,22 +157,21 @@ def _possible(rule: Rule, a: str, b: str) -> Column:
 
 def _alike(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Suffix filter: pairs whose sets could still overlap enough, from their counts by range of hash."""
-    own = sets.select("sig", "n", "bins")
-    both = pairs.join(own.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba")), "a").join(own.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb")), "b")
+    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba")), "a").join(sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ba, bb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SUFFIX_BINS).astype(np.int64) for c in (3, 5))
-            total = np.asarray(batch.column(2)) + np.asarray(batch.column(4))
+            ba, bb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SUFFIX_BINS).astype(np.int64) for c in (5, 7))
+            total = np.asarray(batch.column(4)) + np.asarray(batch.column(6))
             most = np.minimum(ba, bb).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(most >= rule.least_overlap(total)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ha", "hb"]).filter(pa.array(most >= rule.least_overlap(total)))
 
-    return both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ha", "hb", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long, ha long, hb long")
 
 
-def _asked(ids: DataFrame) -> np.ndarray:
+def _asked(holders: DataFrame) -> np.ndarray:
     """A bitmap of hashed ids: fixed in size, it only ever lets too many through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,15 +181,13 @@ def _asked(ids: DataFrame) -> np.ndarray:
             np.bitwise_or.at(bits, h >> 3, np.left_shift(1, h & 7).astype(np.uint8))
         yield packed(bits)
 
-    return merged(ids.mapInArrow(run, SCHEMA), "u1", np.bitwise_or)
+    return merged(holders.mapInArrow(run, SCHEMA), "u1", np.bitwise_or)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
     spark = docs.sparkSession
-    named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    holders = members.groupBy("sig").agg(F.min(F.xxhash64("doc_id")).alias("h")).join(named, "sig", "left_semi")
-    bits = spark.sparkContext.broadcast(_asked(holders.select("h")))
+    bits = spark.sparkContext.broadcast(_asked(pairs.select(F.explode(F.array("ha", "hb")).alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -201,7 +202,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, rule: Rule)
 
     found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "sig long, grams binary")
     # a set may come from several tasks: all are equal
-    sets = written(spark, found.join(named, "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams")), "jaccard-sets")
+    sets = written(spark, found.groupBy("sig").agg(F.first("grams").alias("grams")), "jaccard-sets")
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("gb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +227,19 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots.withColumnRenamed("root", "_root"), rows["sig"] == roots["node"], "left").withColumn("root", F.coalesce("_root", "sig")).drop("node", "_root")
 
 
+def _named(joined: DataFrame, x: str, y: str) -> DataFrame:
+    """Each pair once, the smaller name first, with a holder of either set."""
+    low = F.col(f"{x}.sig") < F.col(f"{y}.sig")
+    pick = lambda c, p, q: F.when(low, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}"))
+    pairs = joined.select(pick("sig", x, y).alias("a"), pick("sig", y, x).alias("b"), pick("holder", x, y).alias("ha"), pick("holder", y, x).alias("hb"))
+    return pairs.groupBy("a", "b").agg(F.min("ha").alias("ha"), F.min("hb").alias("hb"))
+
+
 def _leader_pairs(posts: DataFrame, rule: Rule) -> DataFrame:
     """Each class with its n-gram's leader, unless they are connected already."""
-    lead = posts.groupBy("gram").agg(F.min(F.struct("pos", "sig", "n", "root")).alias("l"))
+    lead = posts.groupBy("gram").agg(F.min(F.struct("pos", "sig", "n", "root", "holder")).alias("l"))
     p = posts.alias("p").join(lead.select(F.col("gram").alias("g"), F.col("l.*")).alias("l"), F.col("p.gram") == F.col("g"))
-    p = p.filter((F.col("p.root") != F.col("l.root")) & _possible(rule, "p", "l"))
-    return p.select(F.least("p.sig", "l.sig").alias("a"), F.greatest("p.sig", "l.sig").alias("b")).distinct()
+    return _named(p.filter((F.col("p.root") != F.col("l.root")) & _possible(rule, "p", "l")), "p", "l")
 
 
 def _all_pairs(posts: DataFrame, rule: Rule) -> DataFrame:
@@ -239,8 +247,7 @@ def _all_pairs(posts: DataFrame, rule: Rule) -> DataFrame:
     open_ = posts.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
     left = posts.join(open_, "gram", "left_semi")
     p = left.alias("p").join(left.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.sig") < F.col("q.sig")))
-    p = p.filter((F.col("p.root") != F.col("q.root")) & _possible(rule, "p", "q"))
-    return p.select(F.col("p.sig").alias("a"), F.col("q.sig").alias("b")).distinct()
+    return _named(p.filter((F.col("p.root") != F.col("q.root")) & _possible(rule, "p", "q")), "p", "q")
 
 
 def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -261,7 +268,7 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # how rare an n-gram is: a rough logarithm of the documents that hold one of its bucket
     count = merged(described.filter("part IS NOT NULL").select("part", "blob"), "u4", np.add, lambda v: np.minimum(255, np.round(16 * np.log2(v + 1.0))).astype(np.uint8))
     rarity = spark.sparkContext.broadcast(count)  # SKETCH bytes
-    sets = members.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
+    sets = written(spark, members.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("bins").alias("bins")), "jaccard-bins")
 
     # n-grams that two classes have in their prefixes; the counting is done before the shuffle
     # as far as a task sees them, and the join can split a hot n-gram over tasks
@@ -276,7 +283,7 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         found = _leader_pairs(rooted, rule) if k < LEADER_ROUNDS else _all_pairs(rooted, rule)
         pairs = written(spark, _alike(found, sets, rule), "jaccard-pairs")
         if not pairs.isEmpty():
-            good = _verified(docs, pairs, members, rule)
+            good = _verified(docs, pairs, rule)
             links = good if links is None else links.union(good)
             roots = components(links)
         dropped(spark, pairs)
