@@ -21,8 +21,8 @@ GROUPS = 16
 TERMS_PER_GROUP = 2
 #: The band of document frequencies, as shares of all documents, and its least number of documents.
 MIN_SHARE, MAX_SHARE, MIN_DOCS = 1e-4, 0.2, 2
-#: Ranges of ids in which the next document is looked for.
-RANGES = 192
+#: Documents to a range of ids, in which the next document is looked for, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 1536, 8192
 #: A lexicon of at most so many terms (8 bytes each) is broadcast; a larger one is joined by shuffling.
 BROADCAST_TERMS = 2_000_000
 #: What separates words.
@@ -92,9 +92,12 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
     So each row's successor in order of id is in its own range.  The last range
     gets the first row of all.
     """
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 100_000)).collect()[0][0] or []
-    cut = F.array(*(F.lit(b) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<long>")
-    place = F.coalesce(F.size(F.filter(cut, lambda b: b <= F.col("doc_id"))), F.lit(0))
+    ranges = min(MOST_RANGES, max(2, -(-docs.count() // RANGE_ROWS)))
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100_000)).collect()[0][0] or []))
+    cut = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
+    # how many bounds are not above the id, by halving steps; a null id has none
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length())))) if bounds else F.array().cast("array<int>")
+    place = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cut, at + step - 1) <= F.col("doc_id"), step).otherwise(0))
     ranged = docs.select("doc_id", "text", place.alias("range"))
     heads = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("head"))  # a row per range
     every = Window.orderBy("range")
