@@ -2,7 +2,7 @@
 
 The model lies in the shared folder as sorted arrays, which workers memory-map:
 
-* words: the 64-bit hashes of all words in SHARDS files by their topmost bits,
+* words: the 64-bit hashes of all words in files by their topmost bits,
   sorted, with their counts; a word's number is its place in all of them;
 * bigrams: in ranges of the first word's number, sorted keys (first << 32 |
   second) and their counts in a byte each, larger counts beside;
@@ -30,8 +30,8 @@ from .runtime import dropped, shared_dir, ship, written
 from .shared_files import load, save
 from .textbatch import Texts, slices
 
-SHARD_BITS = 6
-SHARDS = 1 << SHARD_BITS
+#: Training texts to a shard of words.
+SHARD_TEXTS = 4096
 #: Training tokens to a range of bigrams: what one task sorts.
 RANGE_TOKENS = 1 << 23
 #: Distinct keys that a task gathers before it sends them.
@@ -48,6 +48,7 @@ class Model:
     """Where the arrays lie, and the numbers that hold for all of them."""
 
     folder: str
+    shard_bits: int
     offsets: tuple[int, ...]  # first number of each word shard, and one past the last
     ranges: int
     tokens: int
@@ -135,8 +136,13 @@ def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 # -- words ----------------------------------------------------------------
 
 
-def _word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs = Runs(np.arange(SHARDS, dtype=np.uint64) << np.uint64(64 - SHARD_BITS))
+def shard_bounds(bits: int) -> np.ndarray:
+    """The least hash of each shard."""
+    return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+
+def _word_runs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    runs = Runs(shard_bounds(bits))
     for batch in batches:
         for _, _, t in slices(batch.column(0)):
             keys, counts = np.unique(tokens(t)[0], return_counts=True)
@@ -162,8 +168,8 @@ class Arrays:
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of sorted distinct hashes."""
         number, count = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        cut = np.append(np.searchsorted(hashes, np.arange(SHARDS, dtype=np.uint64) << np.uint64(64 - SHARD_BITS)), len(hashes))
-        for s in range(SHARDS):
+        cut = np.append(np.searchsorted(hashes, shard_bounds(self.m.shard_bits)), len(hashes))
+        for s in range(1 << self.m.shard_bits):
             own, keys = hashes[cut[s] : cut[s + 1]], self.word[s]
             if not len(own) or not len(keys):
                 continue
@@ -245,6 +251,7 @@ def train(docs: DataFrame) -> Model | None:
     ship(spark)
     folder = f"{shared_dir(spark)}/tidepool/model-{uuid.uuid4().hex}"
     texts = docs.select(F.col("text").cast("string").alias("text"))
+    bits = min(16, max(1, (docs.count() // SHARD_TEXTS).bit_length()))
 
     def save_words(group: pa.Table) -> pa.Table:
         keys, counts = _merged(group)
@@ -253,17 +260,17 @@ def train(docs: DataFrame) -> Model | None:
         save(folder, f"word-{s}.counts", counts.astype("<u8"))
         return pa.table({"part": pa.array([s], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64()), "known": pa.array([int((counts > 0).sum())], pa.int64())})
 
-    found = {r.part: r for r in texts.mapInArrow(_word_runs, _RUN).groupBy("part").applyInArrow(save_words, "part int, n long, tokens long, known long").collect()}  # a row per shard
+    found = {r.part: r for r in texts.mapInArrow(lambda batches: _word_runs(batches, bits), _RUN).groupBy("part").applyInArrow(save_words, "part int, n long, tokens long, known long").collect()}  # a row per shard
     if not found:
         return None
     offsets = [0]
-    for s in range(SHARDS):
+    for s in range(1 << bits):
         offsets.append(offsets[-1] + (found[s].n if s in found else 0))
     if offsets[-1] >= 1 << 32:
         raise ValueError("more than 2**32 distinct words: bigram keys need wider numbers")
     n_tokens, known = sum(r.tokens for r in found.values()), sum(r.known for r in found.values())
     ranges = min(max(4, -(-n_tokens // RANGE_TOKENS)), offsets[-1])
-    model = Model(folder, tuple(offsets), ranges, n_tokens, known, (0.0,) * 3, (0.0,) * 3, 0, 1.0)
+    model = Model(folder, bits, tuple(offsets), ranges, n_tokens, known, (0.0,) * 3, (0.0,) * 3, 0, 1.0)
     bounds = first_words(offsets[-1], ranges)
 
     def pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +330,7 @@ def train(docs: DataFrame) -> Model | None:
     kinds = [sum(x) for x in zip(*low.values(), strict=True)]
     d = discounts(kinds[:4])
     weight = (d[0] * kinds[0] + d[1] * kinds[1] + d[2] * kinds[4]) / max(1, total[0])
-    return Model(folder, tuple(offsets), ranges, n_tokens, known, discounts(total[1:]), d, total[0], weight)
+    return Model(folder, bits, tuple(offsets), ranges, n_tokens, known, discounts(total[1:]), d, total[0], weight)
 
 
 def _before(number: np.ndarray, off: np.ndarray, begin: int) -> np.ndarray:
