@@ -10,8 +10,8 @@ left is verified once on the whole sets.
 
 Links are found in rounds.  In each, of all classes that share a prefix n-gram
 only pairs with one leader are verified, per component found so far: the class
-that has the n-gram earliest in its order, which is the least edited one of a
-group of near copies.  Then pairs of classes already connected are passed over,
+whose prefix is the most common, which is the least edited one of a group of near
+copies and the same one for nearly all of its n-grams.  Then pairs of classes already connected are passed over,
 and the last round verifies every pair that is left, so no link between
 different components is missed and a group of n near copies costs about n pairs.
 """
@@ -116,9 +116,11 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, rule: Rule, rarity) -> DataFrame:
-    """gram, sig, n, pos, holder for the prefix of each set; a task gives a set once.
+    """gram, sig, n, pos, holder, common for the prefix of each set; a task gives a set once.
 
-    holder: the hash of the id of a document that has the set.
+    holder: the hash of the id of a document that has the set.  common: how
+    frequent the n-grams of the prefix are on average; the base of a group of
+    near copies has none of their own rare n-grams and so the highest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,13 +140,14 @@ def _prefixes(docs: DataFrame, rule: Rule, rarity) -> DataFrame:
                 grams, row = grams[keep], row[keep]
                 rare = rarity.value[(grams & np.uint64(SKETCH - 1)).astype(np.int64)]
                 order = np.lexsort((grams, rare, row))
-                grams = grams[order]
+                grams, rare = grams[order], rare[order]
                 begin = np.searchsorted(row, np.arange(t.n))
                 pos = np.arange(len(grams)) - begin[row]
                 take = pos < rule.prefix(n)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[take].view(np.int64)), pa.array(sig[row[take]].view(np.int64)), pa.array(n[row[take]].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(holder[row[take]])], names=["gram", "sig", "n", "pos", "holder"])
+                common = (1000 * np.bincount(row[take], weights=rare[take], minlength=t.n) / np.maximum(rule.prefix(n), 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[take].view(np.int64)), pa.array(sig[row[take]].view(np.int64)), pa.array(n[row[take]].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(holder[row[take]]), pa.array(common[row[take]])], names=["gram", "sig", "n", "pos", "holder", "common"])
 
-    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "gram long, sig long, n int, pos int, holder long")
+    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "gram long, sig long, n int, pos int, holder long, common int")
 
 
 def _possible(rule: Rule, a: str, b: str) -> Column:
@@ -237,7 +240,7 @@ def _named(joined: DataFrame, x: str, y: str) -> DataFrame:
 
 def _leader_pairs(posts: DataFrame, rule: Rule) -> DataFrame:
     """Each class with its n-gram's leader, unless they are connected already."""
-    lead = posts.groupBy("gram").agg(F.min(F.struct("pos", "sig", "n", "root", "holder")).alias("l"))
+    lead = posts.groupBy("gram").agg(F.max(F.struct("common", "sig", "n", "pos", "root", "holder")).alias("l"))
     p = posts.alias("p").join(lead.select(F.col("gram").alias("g"), F.col("l.*")).alias("l"), F.col("p.gram") == F.col("g"))
     return _named(p.filter((F.col("p.root") != F.col("l.root")) & _possible(rule, "p", "l")), "p", "l")
 
