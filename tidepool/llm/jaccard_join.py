@@ -32,7 +32,8 @@ from .textbatch import Texts, mix64, slices, windows
 from .vectors import SCHEMA, merged, packed
 
 #: Width of the sketch of document frequencies that orders the n-grams; a power of two.
-SKETCH = 1 << 22
+SKETCH = 1 << 24
+_FULL = 65535  # a counter stays there
 SUFFIX_BINS = 32
 #: Rounds with leaders before the one that verifies all pairs left.
 LEADER_ROUNDS = 1
@@ -90,11 +91,15 @@ def signatures(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
     return sig
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(_FULL, a.astype(np.uint32) + b).astype(np.uint16)
+
+
 def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
     """A row per document (doc_id, n, sig, bins) and, with a part, the task's share of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, dtype=np.uint32)
+        sketch = np.zeros(SKETCH, dtype=np.uint16)
         kind, any_ = None, False
         names = ["doc_id", "n", "sig", "bins", "part", "blob"]
         for batch in batches:
@@ -102,7 +107,8 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
             for first, last, t in slices(batch.column(1)):
                 grams, off = shingle_sets(t, rule.words)
                 n, any_ = np.diff(off), True
-                sketch += np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                at, times = np.unique((grams & np.uint64(SKETCH - 1)).astype(np.int64), return_counts=True)
+                sketch[at] = np.minimum(_FULL, sketch[at] + times)
                 rows = np.repeat(np.arange(t.n), n)
                 bins = np.bincount(rows * SUFFIX_BINS + (grams >> np.uint64(59)).astype(np.int64), minlength=t.n * SUFFIX_BINS).astype("<u4").tobytes()
                 width = 4 * SUFFIX_BINS
@@ -269,7 +275,7 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     described = written(spark, _describe(docs, rule), "jaccard-rows")
     members = described.filter("part IS NULL").select("doc_id", "n", "sig", "bins")
     # how rare an n-gram is: a rough logarithm of the documents that hold one of its bucket
-    count = merged(described.filter("part IS NOT NULL").select("part", "blob"), "u4", np.add, lambda v: np.minimum(255, np.round(16 * np.log2(v + 1.0))).astype(np.uint8))
+    count = merged(described.filter("part IS NOT NULL").select("part", "blob"), "u2", _added, lambda v: np.minimum(255, np.round(16 * np.log2(v + 1.0))).astype(np.uint8))
     rarity = spark.sparkContext.broadcast(count)  # SKETCH bytes
     sets = written(spark, members.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("bins").alias("bins")), "jaccard-bins")
 
