@@ -4,7 +4,7 @@ Texts with the same set of n-grams are one class, named by a hash of the set.
 All n-grams are put in one order, rarest first; two sets that reach the threshold
 share an n-gram among the first few of each (the prefix), so only n-grams of
 prefixes are joined.  Candidates are pruned by the lengths of the sets, by the
-positions of the shared n-gram, and by a bound on the overlap of the rest (the
+positions and the number of the shared n-grams, and by a bound on the overlap of the rest (the
 counts of both sets in SUFFIX_BINS ranges of the hash), and each pair that is
 left is verified once on the whole sets.
 
@@ -156,12 +156,19 @@ def _prefixes(docs: DataFrame, rule: Rule, rarity) -> DataFrame:
     return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "gram long, sig long, n int, pos int, holder long, common int")
 
 
+def _least(rule: Rule, na: Column, nb: Column) -> Column:
+    return F.ceil((na + nb) * rule.percent / (100 + rule.percent))
+
+
 def _possible(rule: Rule, a: str, b: str) -> Column:
-    """Length and positional filters for two rows of the same n-gram."""
+    """Length and positional filters for two rows of the same n-gram.
+
+    The first n-gram that two linked sets share leaves room for the least overlap
+    in both, so rows beyond that position needn't name the pair: another row does.
+    """
     na, nb, pa_, pb = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
-    least = F.ceil((na + nb) * rule.percent / (100 + rule.percent))
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return (100 * F.least(na, nb) >= rule.percent * F.greatest(na, nb)) & (most >= least)
+    least = _least(rule, na, nb)
+    return (100 * F.least(na, nb) >= rule.percent * F.greatest(na, nb)) & (pa_ <= na - least) & (pb <= nb - least)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -181,12 +188,12 @@ def _alike(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _asked(holders: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids: fixed in size, it only ever lets too many through."""
+    """A bitmap of the hashed ids in all columns: fixed in size, it only ever lets too many through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(ASKED_BITS // 8, dtype=np.uint8)
         for batch in batches:
-            h = np.asarray(batch.column(0)).astype(np.int64) & (ASKED_BITS - 1)
+            h = np.concatenate([np.asarray(c) for c in batch.columns]).astype(np.int64) & (ASKED_BITS - 1)
             np.bitwise_or.at(bits, h >> 3, np.left_shift(1, h & 7).astype(np.uint8))
         yield packed(bits)
 
@@ -196,7 +203,7 @@ def _asked(holders: DataFrame) -> np.ndarray:
 def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_asked(pairs.select(F.explode(F.array("ha", "hb")).alias("h"))))
+    bits = spark.sparkContext.broadcast(_asked(pairs.select("ha", "hb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -236,19 +243,30 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots.withColumnRenamed("root", "_root"), rows["sig"] == roots["node"], "left").withColumn("root", F.coalesce("_root", "sig")).drop("node", "_root")
 
 
-def _named(joined: DataFrame, x: str, y: str) -> DataFrame:
-    """Each pair once, the smaller name first, with a holder of either set."""
+def _named(joined: DataFrame, x: str, y: str, rule: Rule) -> DataFrame:
+    """Each pair once, the smaller name first, with a holder of either set.
+
+    The positional filter once more, over all n-grams that named the pair: the
+    overlap is at most their number (more, if a set came from several tasks) and
+    what follows the last of them in the set with less left.
+    """
     low = F.col(f"{x}.sig") < F.col(f"{y}.sig")
     pick = lambda c, p, q: F.when(low, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}"))
-    pairs = joined.select(pick("sig", x, y).alias("a"), pick("sig", y, x).alias("b"), pick("holder", x, y).alias("ha"), pick("holder", y, x).alias("hb"))
-    return pairs.groupBy("a", "b").agg(F.min("ha").alias("ha"), F.min("hb").alias("hb"))
+    ends = [pick(c, p, q).alias(f"{c}_{e}") for c in ("sig", "holder", "n", "pos") for e, p, q in (("a", x, y), ("b", y, x))]
+    pairs = joined.select(*ends).groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(
+        F.min("holder_a").alias("ha"), F.min("holder_b").alias("hb"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"),
+        F.max("pos_a").alias("la"), F.max("pos_b").alias("lb"), F.count(F.lit(1)).alias("met"),
+    )
+    na, nb = F.col("na"), F.col("nb")
+    most = F.col("met") + F.least(na - F.col("la"), nb - F.col("lb")) - 1
+    return pairs.filter(most >= _least(rule, na, nb)).select("a", "b", "ha", "hb")
 
 
 def _leader_pairs(posts: DataFrame, rule: Rule) -> DataFrame:
     """Each class with its n-gram's leader, unless they are connected already."""
     lead = posts.groupBy("gram").agg(F.max(F.struct("common", "sig", "n", "pos", "root", "holder")).alias("l"))
     p = posts.alias("p").join(lead.select(F.col("gram").alias("g"), F.col("l.*")).alias("l"), F.col("p.gram") == F.col("g"))
-    return _named(p.filter((F.col("p.root") != F.col("l.root")) & _possible(rule, "p", "l")), "p", "l")
+    return _named(p.filter((F.col("p.root") != F.col("l.root")) & _possible(rule, "p", "l")), "p", "l", rule)
 
 
 def _all_pairs(posts: DataFrame, rule: Rule) -> DataFrame:
@@ -256,7 +274,7 @@ def _all_pairs(posts: DataFrame, rule: Rule) -> DataFrame:
     open_ = posts.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
     left = posts.join(open_, "gram", "left_semi")
     p = left.alias("p").join(left.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.sig") < F.col("q.sig")))
-    return _named(p.filter((F.col("p.root") != F.col("q.root")) & _possible(rule, "p", "q")), "p", "q")
+    return _named(p.filter((F.col("p.root") != F.col("q.root")) & _possible(rule, "p", "q")), "p", "q", rule)
 
 
 def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
