@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .runtime import dropped, ship, written
 from .textbatch import Texts, mix64, slices, windows
+from .transducer import release
 from .vectors import SCHEMA, merged, packed
 
 #: Width of the sketch of document frequencies that orders the n-grams; a power of two.
@@ -99,6 +100,7 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
     """A row per document (doc_id, n, sig, bins) and, with a part, the task's share of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sketch = np.zeros(SKETCH, dtype=np.uint16)
         kind, any_ = None, False
         names = ["doc_id", "n", "sig", "bins", "part", "blob"]
@@ -130,6 +132,7 @@ def _prefixes(docs: DataFrame, rule: Rule, rarity) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         for batch in batches:
             for first, last, t in slices(batch.column(1)):
@@ -206,6 +209,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     bits = spark.sparkContext.broadcast(_asked(pairs.select("ha", "hb")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         for batch in batches:
             h = np.asarray(batch.column(0)).astype(np.int64) & (ASKED_BITS - 1)

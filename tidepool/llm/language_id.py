@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .runtime import ship
 from .textbatch import Texts, mix64, slices
+from .transducer import release
 
 #: Hashed features and the lengths of the n-grams.
 FEATURES = 1 << 16
@@ -153,6 +154,7 @@ def train(docs: DataFrame, how: Training = Training()) -> Model | None:
     sampled = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < chance * float(1 << 30)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         df = np.zeros(FEATURES, dtype=np.int64)
         n = 0
         label, idx, cnt = [], [], []
@@ -218,6 +220,7 @@ def identify(docs: DataFrame, how: Training = Training()) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, how))  # FEATURES floats for each of max_languages at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first, last, t in slices(batch.column(2)):
                 label, score = predict(t, model.value)
@@ -234,6 +237,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, how: Training = Trainin
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keep = [np.zeros(0, dtype=bool)]
             for _, _, t in slices(batch.column(text)):

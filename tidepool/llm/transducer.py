@@ -27,6 +27,8 @@ its first boundary, is then run from the state that the scan gives it.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import json
 from collections.abc import Sequence
 from functools import lru_cache
@@ -418,6 +420,20 @@ def compiled(path: str, classes_of: str | None = None) -> Transducer:
     return Transducer(load_ranks(path) if path.endswith(".tiktoken") else load_json(path), of)
 
 
+def release() -> None:
+    """Free the transducers that this worker keeps.
+
+    Workers outlive a stage; an operator without tokenizers calls this when its
+    task begins, so that in a chain of stages it doesn't pay for their memory.
+    """
+    if compiled.cache_info().currsize:
+        compiled.cache_clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+        if trim is not None:
+            trim(0)
+
+
 def encode_all(transducer: Transducer, texts: Sequence[str | None]) -> list[list[int]]:
     """Ids of each text: the plain form of ``ids``, for tests and small use."""
     ids, off = transducer.ids(Texts.of(list(texts)))
