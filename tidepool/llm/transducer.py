@@ -15,7 +15,8 @@ relative to the count at the state.  Exactly one vocabulary entry that ends at a
 byte is compatible with the token before it, so the machine is deterministic.
 Nodes under which the token before allows nothing are closed, and tokens that
 allow the same entries below a node are not told apart, which keeps the states
-few.  Only transitions that a text takes are compiled; past ``max_states`` the
+few.  Only transitions that a text takes are compiled, in a table with a column for
+each byte value met; past ``max_states`` the
 table is dropped and begun again, so memory is bounded whatever the texts are.
 
 Text is cut into chunks of equal size which are stepped in lockstep.  The state
@@ -182,7 +183,10 @@ class Transducer:
     # -- the byte machine ------------------------------------------------
 
     def _clear(self) -> None:
-        self.next = np.full((2048, 256), -1, dtype=np.int32)
+        # a column for each byte value that texts have had
+        self.column = np.full(256, -1, dtype=np.int32)
+        self.value: list[int] = []
+        self.next = np.full((2048, 32), -1, dtype=np.int32)
         self.next[1] = 1 << 8 | 128  # state 1: what came before is not known yet
         self.last = np.zeros(2048, dtype=np.int32)
         start = ((0, None, 0),)
@@ -191,7 +195,21 @@ class Transducer:
         self.states: list[tuple] = [start, ()]
         self.known: dict[tuple, int] = {start: 0}
 
-    def _compile(self, state: int, byte: int) -> None:
+    def _columns(self, data: np.ndarray) -> np.ndarray:
+        """The column of each byte; the table is widened for values not met before."""
+        for b in np.flatnonzero(np.bincount(data, minlength=256) * (self.column < 0)).tolist():
+            self.column[b] = len(self.value)
+            self.value.append(b)
+        states, width = self.next.shape
+        if len(self.value) > width:
+            wide = np.full((states, min(256, -(-len(self.value) // 32) * 32)), -1, dtype=np.int32)
+            wide[:, :width] = self.next
+            wide[1] = 1 << 8 | 128
+            self.next = wide
+        return self.column[data]
+
+    def _compile(self, state: int, column: int) -> None:
+        byte = self.value[column]
         best, open_ = None, []
         for node, allowed, count in self.states[state]:
             nxt = self.child.get(node << 8 | byte)
@@ -218,19 +236,20 @@ class Transducer:
             to = self.known[key] = len(self.states)
             self.states.append(key)
             if to >= len(self.last):
-                more = min(len(self.last), 32768)
-                self.next = np.concatenate([self.next, np.full((more, 256), -1, dtype=np.int32)])
+                more = min(len(self.last), 8192)
+                self.next = np.concatenate([self.next, np.full((more, self.next.shape[1]), -1, dtype=np.int32)])
                 self.last = np.concatenate([self.last, np.zeros(more, dtype=np.int32)])
             self.last[to] = t
-        self.next[state, byte] = to << 8 | delta + 128
+        self.next[state, column] = to << 8 | delta + 128
 
-    def _step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    def _step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
         """Packed (next state, change of count + 128) of each lane."""
-        at = (state << 8) | byte
+        width = self.next.shape[1]
+        at = state * width + column
         got = self.next.ravel()[at]
         if len(got) and got.min() < 0:
             for key in np.unique(at[got < 0]):
-                self._compile(int(key) >> 8, int(key) & 255)
+                self._compile(*divmod(int(key), width))
             got = self.next.ravel()[at]
         return got
 
@@ -239,12 +258,12 @@ class Transducer:
         n = len(data)
         lanes = -(-n // CHUNK)
         size = lanes * CHUNK
-        byte = np.zeros(size, dtype=np.uint8)
-        byte[:n] = data
+        column = np.zeros(size, dtype=np.int32)
+        column[:n] = self._columns(data)
         go_on = np.ones(size, dtype=np.int32)
         go_on[:n] -= reset
         go_on[n:] = 0
-        byte = np.ascontiguousarray(byte.reshape(lanes, CHUNK).T).astype(np.int32)
+        column = np.ascontiguousarray(column.reshape(lanes, CHUNK).T)
         go_on = np.ascontiguousarray(go_on.reshape(lanes, CHUNK).T)
         result = np.zeros((CHUNK, lanes), dtype=out.dtype)
 
@@ -256,7 +275,7 @@ class Transducer:
         every = slice(None)
         state = np.ones(lanes, dtype=np.int32)  # unknown until the first boundary
         for k in range(CHUNK):
-            state = emit(k, every, self._step(state * go_on[k], byte[k]))
+            state = emit(k, every, self._step(state * go_on[k], column[k]))
         # heads: a chunk with a boundary has a constant map, the scan carries it on to the next
         head = np.where((go_on == 0).any(axis=0), (go_on == 0).argmax(axis=0), CHUNK)
         todo = np.flatnonzero(head > 0)
@@ -267,7 +286,7 @@ class Transducer:
             for k in range(int(head[lane].max())):
                 live = head[lane] > k
                 lane, now = lane[live], now[live]
-                now = emit(k, lane, self._step(now, byte[k, lane]))
+                now = emit(k, lane, self._step(now, column[k, lane]))
             full = head[lane] == CHUNK
             state[lane[full]] = now[full]
         out[:] = result.T.ravel()[:n]
@@ -408,16 +427,20 @@ def _classifier(tokenizer):
 
 
 @lru_cache(maxsize=4)
+def _compiled(path: str, classes_of: str) -> Transducer:
+    from tokenizers import Tokenizer
+
+    of = _classifier(Tokenizer.from_file(classes_of))
+    return Transducer(load_ranks(path) if path.endswith(".tiktoken") else load_json(path), of)
+
+
 def compiled(path: str, classes_of: str | None = None) -> Transducer:
-    """The transducer of a vocabulary file, kept for the life of a worker.
+    """The transducer of a vocabulary file, one for all operators, kept until ``release``.
 
     classes_of: the ``tokenizers`` file whose pre-tokenizer tells letters,
     digits and white space apart; by default the file itself.
     """
-    from tokenizers import Tokenizer
-
-    of = _classifier(Tokenizer.from_file(classes_of or path))
-    return Transducer(load_ranks(path) if path.endswith(".tiktoken") else load_json(path), of)
+    return _compiled(path, classes_of or path)
 
 
 def release() -> None:
@@ -426,8 +449,8 @@ def release() -> None:
     Workers outlive a stage; an operator without tokenizers calls this when its
     task begins, so that in a chain of stages it doesn't pay for their memory.
     """
-    if compiled.cache_info().currsize:
-        compiled.cache_clear()
+    if _compiled.cache_info().currsize:
+        _compiled.cache_clear()
         gc.collect()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
         if trim is not None:
