@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,10 +238,8 @@ def keep_identified(docs: DataFrame, least: float = 0.5, how: Training = Trainin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            keep = [np.zeros(0, dtype=bool)]
-            for _, _, t in slices(batch.column(text)):
+            for first, last, t in slices(batch.column(text)):
                 label, score = predict(t, model.value)
-                keep.append((score >= least) & (np.array(label) != UNKNOWN))
-            yield batch.filter(pc.fill_null(pa.array(np.concatenate(keep)), False))
+                yield batch.slice(first, last - first).filter(pa.array((score >= least) & (np.array(label) != UNKNOWN)))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -152,14 +152,13 @@ def judge(t: Texts, langs: list[str | None], vocab_path: str, broad_path: str) -
     return out
 
 
-def _judged(batch: pa.RecordBatch, text: int, lang: int | None, vocab_path: str, broad_path: str) -> list[pa.Array]:
-    parts: dict[str, list] = {c: [] for c in STATS}
-    langs = batch.column(lang).to_pylist() if lang is not None else [None] * batch.num_rows
-    for a, b, t in slices(batch.column(text)):
-        for c, v in judge(t, langs[a:b], vocab_path, broad_path).items():
-            parts[c].append(np.asarray(v, dtype=object) if c == "band" else v)
+def _judged(batch: pa.RecordBatch, text: int, lang: int, vocab_path: str, broad_path: str) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+    """The rows of each slice of a batch, and their columns of STATS."""
+    langs = batch.column(lang).to_pylist()
     kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
-    return [pa.array(np.concatenate(parts[c]) if parts[c] else [], kinds[k]) for c, k in STATS.items()]
+    for a, b, t in slices(batch.column(text)):
+        stats = judge(t, langs[a:b], vocab_path, broad_path)
+        yield batch.slice(a, b - a), [pa.array(stats[c], kinds[k]) for c, k in STATS.items()]
 
 
 def quality(docs: DataFrame, vocab_path: str, broad_path: str) -> DataFrame:
@@ -176,8 +175,8 @@ def quality(docs: DataFrame, vocab_path: str, broad_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(batch, 1, 2, vocab_path, broad_path)], names=["doc_id", *STATS])
+            for rows, stats in _judged(batch, 1, 2, vocab_path, broad_path):
+                yield pa.RecordBatch.from_arrays([rows.column(0), *stats], names=["doc_id", *STATS])
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -192,7 +191,7 @@ def keep_good(docs: DataFrame, vocab_path: str, broad_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pc.fill_null(_judged(batch, text, lang, vocab_path, broad_path)[kept], False))
+            for rows, stats in _judged(batch, text, lang, vocab_path, broad_path):
+                yield rows.filter(pc.fill_null(stats[kept], False))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

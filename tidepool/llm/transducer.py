@@ -426,12 +426,22 @@ def _classifier(tokenizer):
     return of
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @lru_cache(maxsize=4)
 def _compiled(path: str, classes_of: str) -> Transducer:
     from tokenizers import Tokenizer
 
     of = _classifier(Tokenizer.from_file(classes_of))
-    return Transducer(load_ranks(path) if path.endswith(".tiktoken") else load_json(path), of)
+    made = Transducer(load_ranks(path) if path.endswith(".tiktoken") else load_json(path), of)
+    _trim()
+    return made
 
 
 def compiled(path: str, classes_of: str | None = None) -> Transducer:
@@ -451,10 +461,7 @@ def release() -> None:
     """
     if _compiled.cache_info().currsize:
         _compiled.cache_clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
-        if trim is not None:
-            trim(0)
+        _trim()
 
 
 def encode_all(transducer: Transducer, texts: Sequence[str | None]) -> list[list[int]]:
