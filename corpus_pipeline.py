@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm.jaccard_join import representatives
+from tidepool.llm.jaccard_join import Rule, representatives
 from tidepool.llm.language_id import keep_identified
 from tidepool.llm.mixing import mixed_documents
 from tidepool.llm.packing import pack
@@ -32,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return representatives(docs)
+    """Of each group of near duplicates (5-word n-grams, Jaccard of 0.8 at least) the document with the smallest id stays."""
+    return representatives(docs, Rule(words=5, percent=80))
 
 
 def temperature_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

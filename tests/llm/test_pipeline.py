@@ -1,5 +1,8 @@
 """The stages on a small table, each against what its decisions must be."""
 
+from collections import Counter, defaultdict
+from itertools import combinations
+
 import corpus_pipeline
 from tidepool.llm.quality_rules import quality
 from tidepool.llm.queries import tokenizer_path
@@ -26,3 +29,33 @@ def test_stages(spark, tmp_path):
     assert len(set(texts)) == len(texts) and ids("temperature_mixing") == ids("jaccard_join")
     assert ids("packing") == ids("temperature_mixing")
     assert corpus_pipeline.ORACLE_SQL is None and "packing" == corpus_pipeline.STAGES[-1][0]
+
+
+def least_of_groups(rows, words, percent):
+    """The smallest id of each group of rows (id, text) linked by brute force."""
+    sets, holders = {}, defaultdict(list)
+    for doc, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[doc] = set(zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else ({tuple(w)} if w else set())
+        for g in sets[doc]:
+            holders[g].append(doc)
+    root = {doc: doc for doc in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), n in Counter(pair for own in holders.values() for pair in combinations(own, 2)).items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return {find(i) for i in sets}
+
+
+def test_near_duplicates_go_by_five_words_and_four_fifths(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = least_of_groups(rows, 5, 80)
+    assert want < least_of_groups(rows, 4, 85)  # the table tells the two rules apart
+    assert {r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, "").select("doc_id").collect()} == want
