@@ -16,7 +16,7 @@ from tidepool.llm.language_id import identify, keep_identified
 from tidepool.llm.language_model import discounts, perplexity
 from tidepool.llm.mixing import mixed_documents, solve, temperature_mix
 
-from .cases import DOCS, documents, empty, odd, odd_rows, text
+from .cases import DOCS, SF, documents, empty, odd, odd_rows, text
 
 
 def docs_of(spark, texts):
@@ -248,6 +248,64 @@ def test_scores_equal_brute_force(spark, which):
         assert math.isclose(sum(p(v, w) for w in c) + p(v, None), 1, rel_tol=1e-9)
 
 
+def brute_trigrams(rows):
+    """Score of each row by order 3: own counts for trigrams, different words before for bigrams."""
+    toks = [[*(t or "").encode().lower().split(), 1] for _, t in rows]
+    learn = [t for (doc, _), t in zip(rows, toks, strict=True) if doc is None or zlib.crc32(str(doc).encode()) % 7 != 2]
+    words, pairs, top = set(), Counter(), Counter()
+    for t in learn:
+        words.update(t)
+        pairs.update(zip([0, *t[:-1]], t, strict=True))
+        top.update(zip([0, *t[:-2]], t[:-1], t[1:], strict=False))
+    near = Counter((v, w) for _, v, w in top) + Counter({k: n for k, n in pairs.items() if k[0] == 0})
+    assert near.keys() == pairs.keys()
+
+    def level(counts):
+        d, total, kinds = discounts([sum(n == k for n in counts.values()) for k in (1, 2, 3, 4)]), Counter(), defaultdict(lambda: [0, 0, 0])
+        for gram, n in counts.items():
+            total[gram[:-1]] += n
+            kinds[gram[:-1]][min(n, 3) - 1] += 1
+
+        def p(gram, low):
+            if not total[gram[:-1]]:
+                return low
+            n = counts.get(gram, 0)
+            own = n - d[min(n, 3) - 1] if n else 0
+            return (max(own, 0) + low * sum(map(lambda x, y: x * y, d, kinds[gram[:-1]]))) / total[gram[:-1]]
+
+        return p
+
+    one, two, three = level({(w,): n for w, n in Counter(w for _, w in pairs).items()}), level(near), level(top)
+
+    def p(u, v, w):
+        low = two((v, w), one((w,), 1 / (len(words) + 1)))
+        return low if u is None else three((u, v, w), low)
+
+    score = [sum(math.log10(p(*g)) for g in zip([None, 0, *t[:-2]][: len(t)], [0, *t[:-1]], t, strict=True)) for t in toks]
+    return score, p, words, near, top
+
+
+@pytest.mark.parametrize("which", [documents, odd])
+def test_trigram_scores_equal_brute_force(spark, which):
+    rows = [(r.doc_id, r.text) for r in which(spark).collect()]
+    want, p, words, near, top = brute_trigrams(rows)
+    got = [r.score for r in perplexity(which(spark), order=3).collect()]
+    assert len(got) == len(want) and all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(sorted(got), sorted(want), strict=True))
+    for u, v, _ in list(top)[:2]:
+        assert math.isclose(sum(p(u, v, w) for w in words) + p(u, v, None), 1, rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        perplexity(which(spark), order=4)
+
+
+def test_query_scores_by_trigrams(spark):
+    from tidepool.llm.queries import op9_kneser_ney
+
+    rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    want = brute_trigrams(rows)[0]
+    got = [r.score for r in op9_kneser_ney(spark, SF).collect()]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(sorted(got), sorted(want), strict=True))
+
+
 def test_no_rows_no_model(spark):
     assert perplexity(empty(spark)).count() == 0
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]

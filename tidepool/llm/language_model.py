@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark.
 
 The model lies in the shared folder as sorted arrays, which workers memory-map:
 
@@ -7,7 +7,12 @@ The model lies in the shared folder as sorted arrays, which workers memory-map:
 * bigrams: in ranges of the first word's number, sorted keys (first << 32 |
   second) and their counts in a byte each, larger counts beside;
 * for each first word the total of its bigrams and how many of them were seen
-  once, twice and more often; for each word after how many words it was seen.
+  once, twice and more often; for each word after how many words it was seen;
+* with order 3, trigrams: in ranges of the number of the bigram they begin with
+  (its place in all bigrams), keys (bigram << 32 | third) and counts as above,
+  and for each bigram the total of its trigrams and how many were seen once, twice
+  and more often.  The bigrams' counts are then of the different words before
+  them; those at the begin of a text, which have none, keep their own.
 
 Counting is by sorted runs: a task sends each range's distinct keys once, as
 compressed differences.  Nothing is pruned.
@@ -18,7 +23,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +37,7 @@ from .textbatch import Texts, slices
 
 #: Training texts to a shard of words.
 SHARD_TEXTS = 4096
-#: Training tokens to a range of bigrams: what one task sorts.
+#: Training tokens to a range of bigrams or trigrams: what one task sorts.
 RANGE_TOKENS = 1 << 23
 #: Distinct keys that a task gathers before it sends them.
 RUN = 1 << 22
@@ -57,6 +62,10 @@ class Model:
     low_discounts: tuple[float, float, float]  # of words seen after one word, two, more
     low_total: int
     low_weight: float  # of the uniform distribution
+    order: int = 2
+    pair_offsets: tuple[int, ...] = (0,)  # first number of each range's bigrams, and one past the last
+    top_ranges: int = 0
+    top_discounts: tuple[float, float, float] = (0.0,) * 3  # of trigrams
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -93,11 +102,59 @@ def _run(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 
 def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [unpack_keys(b) for b in group.column("keys").to_pylist()]
-    counts = [unpack_counts(b) for b in group.column("counts").to_pylist()]
+    """Distinct keys of a group's runs and their counts; a null run has none."""
+    none = [np.zeros(0, dtype=np.uint64)]
+    keys = none + [unpack_keys(b) for b in group.column("keys").to_pylist() if b is not None]
+    counts = none + [unpack_counts(b) for b in group.column("counts").to_pylist() if b is not None]
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
+def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Counts in a byte each, and the larger ones beside."""
+    save(folder, f"{name}.counts", np.minimum(counts, _BIG).astype(np.uint8))
+    big = np.flatnonzero(counts >= _BIG)
+    save(folder, f"{name}.big", np.concatenate([big.astype("<u8"), counts[big].astype("<u8")]))
+
+
+def _kinds(context: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarray]:
+    """For each context the total of its counts, and how many are one, two and more."""
+    total = np.bincount(context, weights=counts.astype(np.float64), minlength=size).astype(np.uint64)
+    return [total, *(np.bincount(context[(counts == k) if k < 3 else (counts >= 3)], minlength=size) for k in (1, 2, 3))]
+
+
+def _save_firsts(folder: str, r: int, first: np.ndarray, counts: np.ndarray, size: int) -> None:
+    total, *kinds = _kinds(first, counts, size)
+    save(folder, f"first-{r}.stats", np.stack([total & np.uint64(0xFFFFFFFF), total >> np.uint64(32), *kinds], axis=1).astype("<u4").ravel())
+
+
+def _exact(counts: np.ndarray, big: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The counts at places of arrays made by _save_counts."""
+    c = counts[at].astype(np.float64)
+    over = np.flatnonzero(c == _BIG)
+    if len(over):
+        pairs = big.reshape(2, -1)
+        c[over] = pairs[1][np.searchsorted(pairs[0], at[over])]
+    return c
+
+
+def _found(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key lies in sorted ones, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return at, keys[at] == key
+
+
+def _smoothed(c: np.ndarray, total: np.ndarray, kinds: list[np.ndarray], d: tuple[float, ...], low: np.ndarray) -> np.ndarray:
+    """Discounted relative counts and the rest by ``low``; ``low`` alone after a context never seen."""
+    seen = total > 0
+    weight = (d[0] * kinds[0] + d[1] * kinds[1] + d[2] * kinds[2])[seen] / total[seen]
+    out = low.copy()
+    cut = np.choose(np.minimum(c, 3).astype(np.int64), (0.0, *d))
+    out[seen] = np.maximum(c - cut, 0)[seen] / total[seen] + weight * low[seen]
+    return out
+
+
 class Runs:
     """Gathers keys and sends sorted distinct runs, cut by ``bounds`` (the first key of each part)."""
 
@@ -164,6 +221,9 @@ class Arrays:
         self.count = [load(m.folder, f"word-{s}.counts", "<u8") if a < b else np.zeros(0, "<u8") for s, (a, b) in enumerate(zip(m.offsets, m.offsets[1:], strict=False))]
         self.bounds = first_words(m.offsets[-1], m.ranges)
         self.pairs: dict[int, tuple] = {}
+        self.pair_keys: dict[int, np.ndarray] = {}
+        self.top_bounds = first_words(m.pair_offsets[-1], m.top_ranges)
+        self.tops: dict[int, tuple] = {}
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of sorted distinct hashes."""
@@ -181,10 +241,38 @@ class Arrays:
 
     def range_of(self, r: int) -> tuple:
         if r not in self.pairs:
-            names = (("pair-{}.keys", "<u8"), ("pair-{}.counts", "u1"), ("pair-{}.big", "<u8"), ("first-{}.stats", "<u4"), ("second-{}.after", "<u4"))
+            own = "pair" if self.m.order == 2 else "near"
+            names = (("pair-{}.keys", "<u8"), (own + "-{}.counts", "u1"), (own + "-{}.big", "<u8"), ("first-{}.stats", "<u4"), ("second-{}.after", "<u4"))
             self.pairs[r] = tuple(load(self.m.folder, n.format(r), k) for n, k in names)
         return self.pairs[r]
 
+    def keys_of(self, r: int) -> np.ndarray:
+        if r not in self.pair_keys:
+            self.pair_keys[r] = load(self.m.folder, f"pair-{r}.keys", "<u8")
+        return self.pair_keys[r]
+
+    def pair_numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of sorted keys of bigrams that the model has."""
+        number = np.empty(len(keys), dtype=np.int64)
+        cut = np.append(np.searchsorted(keys, self.bounds.astype(np.uint64) << np.uint64(32)), len(keys))
+        for r in range(self.m.ranges):
+            a, b = cut[r], cut[r + 1]
+            if a < b:
+                number[a:b] = self.m.pair_offsets[r] + np.searchsorted(self.keys_of(r), keys[a:b])
+        return number
+
+    def seconds(self, start: int, end: int) -> np.ndarray:
+        """The second words of the bigrams with these numbers."""
+        off = self.m.pair_offsets
+        parts = [self.keys_of(r)[max(0, start - off[r]) : end - off[r]] for r in range(self.m.ranges) if off[r] < end and off[r + 1] > start]
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *parts]) & np.uint64(0xFFFFFFFF)
+
+    def top_of(self, r: int) -> tuple:
+        if r not in self.tops:
+            names = (("top-{}.keys", "<u8"), ("top-{}.counts", "u1"), ("top-{}.big", "<u8"), ("context-{}.stats", "u1"), ("context-{}.big", "<u8"))
+            self.tops[r] = tuple(load(self.m.folder, n.format(r), k) for n, k in names)
+        return self.tops[r]
+
     def low(self, numbers: np.ndarray) -> np.ndarray:
         """Probability of sorted words whatever comes before, -1 being unknown."""
         after = np.zeros(len(numbers))
@@ -196,34 +284,46 @@ class Arrays:
         d = np.choose(np.minimum(after, 3).astype(np.int64), (0.0, *self.m.low_discounts))
         return np.maximum(after - d, 0) / max(1, self.m.low_total) + self.m.low_weight / (self.m.words + 1)
 
-    def probability(self, first: np.ndarray, second: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Of pairs sorted by first and second, -1 being unknown; low: the second word's own probability."""
-        out = low.copy()
+    def probability(self, first: np.ndarray, second: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs sorted by first and second, -1 being unknown, and their numbers; low: the second word's own probability."""
+        out, number = low.copy(), np.full(len(first), -1, dtype=np.int64)
         cut = np.append(np.searchsorted(first, self.bounds), len(first))
-        d1, d2, d3 = self.m.discounts
         for r in range(self.m.ranges):
             a, b = cut[r], cut[r + 1]
             if a == b:
                 continue
             keys, counts, big, stats, _ = self.range_of(r)
             f = first[a:b]
-            total, n1, n2, n3 = (stats.reshape(-1, 5)[f - int(self.bounds[r])][:, k].astype(np.float64) for k in (0, 2, 3, 4))
-            total += stats.reshape(-1, 5)[f - int(self.bounds[r])][:, 1].astype(np.float64) * 2.0**32
+            own = stats.reshape(-1, 5)[f - int(self.bounds[r])].astype(np.float64)
+            at, hit = _found(keys, (f.astype(np.uint64) << np.uint64(32)) | np.maximum(second[a:b], 0).astype(np.uint64))
+            hit &= second[a:b] >= 0
             c = np.zeros(b - a)
-            key = (f.astype(np.uint64) << np.uint64(32)) | np.maximum(second[a:b], 0).astype(np.uint64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = (keys[at] == key) & (second[a:b] >= 0)
-                c[hit] = counts[at[hit]]
-                over = np.flatnonzero(c == _BIG)
-                if len(over):
-                    pairs = big.reshape(2, -1)
-                    c[over] = pairs[1][np.searchsorted(pairs[0], at[over])]
-            d = np.choose(np.minimum(c, 3).astype(np.int64), (0.0, d1, d2, d3))
-            seen = total > 0
-            weight = (d1 * n1 + d2 * n2 + d3 * n3)[seen] / total[seen]
-            own = out[a:b]
-            own[seen] = np.maximum(c - d, 0)[seen] / total[seen] + weight * low[a:b][seen]
+            c[hit] = _exact(counts, big, at[hit])
+            if self.m.order > 2:
+                number[a:b][hit] = self.m.pair_offsets[r] + at[hit]
+            out[a:b] = _smoothed(c, own[:, 0] + own[:, 1] * 2.0**32, [own[:, k] for k in (2, 3, 4)], self.m.discounts, low[a:b])
+        return out, number
+
+    def top(self, pair: np.ndarray, third: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Of trigrams sorted by the number of their first two words; low: the third word's probability after the second."""
+        out = low.copy()
+        cut = np.append(np.searchsorted(pair, self.top_bounds), len(pair))
+        for r in range(self.m.top_ranges):
+            a, b = cut[r], cut[r + 1]
+            if a == b:
+                continue
+            keys, counts, big, stats, big_stats = self.top_of(r)
+            context = pair[a:b] - int(self.top_bounds[r])
+            own = stats.reshape(-1, 4)[context].astype(np.float64)
+            over = np.flatnonzero(own[:, 0] == _BIG)
+            if len(over):
+                exact = big_stats.reshape(5, -1)
+                own[over] = exact[1:, np.searchsorted(exact[0], context[over])].T
+            at, hit = _found(keys, (pair[a:b].astype(np.uint64) << np.uint64(32)) | np.maximum(third[a:b], 0).astype(np.uint64))
+            hit &= third[a:b] >= 0
+            c = np.zeros(b - a)
+            c[hit] = _exact(counts, big, at[hit])
+            out[a:b] = _smoothed(c, own[:, 0], [own[:, k] for k in (1, 2, 3)], self.m.top_discounts, low[a:b])
         return out
 
 
@@ -245,8 +345,10 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def train(docs: DataFrame) -> Model | None:
+def train(docs: DataFrame, order: int = 2) -> Model | None:
     """Count a model of docs (text); None if there are no rows."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: a model is of order 2 or 3")
     spark = docs.sparkSession
     ship(spark)
     folder = f"{shared_dir(spark)}/tidepool/model-{uuid.uuid4().hex}"
@@ -291,17 +393,16 @@ def train(docs: DataFrame) -> Model | None:
         r = group.column("part")[0].as_py()
         start, end = int(bounds[r]), int(bounds[r + 1]) if r + 1 < ranges else offsets[-1]
         save(folder, f"pair-{r}.keys", keys.astype("<u8"))
-        save(folder, f"pair-{r}.counts", np.minimum(counts, _BIG).astype(np.uint8))
-        big = np.flatnonzero(counts >= _BIG)
-        save(folder, f"pair-{r}.big", np.concatenate([big.astype("<u8"), counts[big].astype("<u8")]))
-        first = (keys >> np.uint64(32)).astype(np.int64) - start
-        total = np.bincount(first, weights=counts.astype(np.float64), minlength=end - start).astype(np.uint64)
-        kinds = [np.bincount(first[(counts == k) if k < 3 else (counts >= 3)], minlength=end - start) for k in (1, 2, 3)]
-        save(folder, f"first-{r}.stats", np.stack([total & np.uint64(0xFFFFFFFF), total >> np.uint64(32), *kinds], axis=1).astype("<u4").ravel())
+        _save_counts(folder, f"pair-{r}", counts)
+        _save_firsts(folder, r, (keys >> np.uint64(32)).astype(np.int64) - start, counts, end - start)
         second, after = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        cut = np.append(np.searchsorted(second, bounds.astype(np.uint64)), len(second))
-        rows = [(p, pack_keys(second[a:b]), pack_counts(after[a:b]), None) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
-        rows.append((-1, None, None, [r, len(keys), *_of_counts(counts)]))
+        return after_runs(second, after, bounds.astype(np.uint64), [r, len(keys), *_of_counts(counts)])
+
+    def after_runs(keys: np.ndarray, counts: np.ndarray, at: np.ndarray, n: list[int]) -> pa.Table:
+        """Runs of keys, cut by ``at``, and a row with part -1 for n."""
+        cut = np.append(np.searchsorted(keys, at), len(keys))
+        rows = [(p, pack_keys(keys[a:b]), pack_counts(counts[a:b]), None) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+        rows.append((-1, None, None, n))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["part", "keys", "counts", "n"])
 
     paired = written(spark, texts.mapInArrow(pair_runs, _RUN).groupBy("part").applyInArrow(save_pairs, _RUN + ", n array<long>"), "model-after")
@@ -330,7 +431,79 @@ def train(docs: DataFrame) -> Model | None:
     kinds = [sum(x) for x in zip(*low.values(), strict=True)]
     d = discounts(kinds[:4])
     weight = (d[0] * kinds[0] + d[1] * kinds[1] + d[2] * kinds[4]) / max(1, total[0])
-    return Model(folder, bits, tuple(offsets), ranges, n_tokens, known, discounts(total[1:]), d, total[0], weight)
+    model = Model(folder, bits, tuple(offsets), ranges, n_tokens, known, discounts(total[1:]), d, total[0], weight)
+    if order == 2:
+        return model
+
+    # -- trigrams --
+    if total[0] >= 1 << 32:
+        raise ValueError("more than 2**32 distinct bigrams: trigram keys need wider numbers")
+    size = {x[0]: x[1] for x in each}
+    pair_offsets = [0]
+    for r in range(ranges):
+        pair_offsets.append(pair_offsets[-1] + size.get(r, 0))
+    tops = min(max(4, -(-n_tokens // RANGE_TOKENS)), total[0])
+    model = replace(model, order=3, pair_offsets=tuple(pair_offsets), top_ranges=tops)
+    top_bounds = first_words(total[0], tops)
+
+    def top_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = _opened(model)
+        begin = arrays.look_up(np.array([BEGIN]))[0][0]
+        runs = Runs(top_bounds.astype(np.uint64) << np.uint64(32))
+        for batch in batches:
+            for _, _, t in slices(batch.column(0)):
+                h, off = tokens(t)
+                distinct, inverse = np.unique(h, return_inverse=True)
+                number = arrays.look_up(distinct)[0][inverse].astype(np.uint64)
+                pairs, inverse = np.unique((_before(number, off, begin) << np.uint64(32)) | number, return_inverse=True)
+                pair = arrays.pair_numbers(pairs)[inverse].astype(np.uint64)
+                later = np.ones(len(h), dtype=bool)
+                later[off[:-1]] = False  # a text's first token has but one before it
+                at = np.flatnonzero(later)
+                keys, counts = np.unique((pair[at - 1] << np.uint64(32)) | number[at], return_counts=True)
+                yield from runs.add(keys, counts.astype(np.uint64))
+        yield from runs.send()
+
+    def save_tops(group: pa.Table) -> pa.Table:
+        keys, counts = _merged(group)
+        r = group.column("part")[0].as_py()
+        start, end = int(top_bounds[r]), int(top_bounds[r + 1]) if r + 1 < tops else total[0]
+        save(folder, f"top-{r}.keys", keys.astype("<u8"))
+        _save_counts(folder, f"top-{r}", counts)
+        context = (keys >> np.uint64(32)).astype(np.int64) - start
+        stats = np.stack(_kinds(context, counts, end - start)).astype(np.uint64)
+        big = np.flatnonzero(stats[0] >= _BIG)
+        save(folder, f"context-{r}.stats", np.minimum(stats, _BIG).astype(np.uint8).T.ravel())
+        save(folder, f"context-{r}.big", np.concatenate([big.astype("<u8"), stats[:, big].astype("<u8").ravel()]))
+        last, before = np.unique((_opened(model).seconds(start, end)[context] << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF)), return_counts=True)
+        return after_runs(last, before, bounds.astype(np.uint64) << np.uint64(32), _of_counts(counts))
+
+    def save_near(group: pa.Table) -> pa.Table:
+        r = group.column("part")[0].as_py()
+        if r < 0:
+            n = np.sum(group.column("n").to_pylist(), axis=0).tolist()
+        else:
+            keys, counts = _merged(group)
+            pairs, own, big = (load(folder, f"pair-{r}.{n}", k) for n, k in (("keys", "<u8"), ("counts", "u1"), ("big", "<u8")))
+            first = (pairs >> np.uint64(32)).astype(np.int64)
+            near = np.zeros(len(pairs), dtype=np.uint64)
+            near[np.searchsorted(pairs, keys)] = counts
+            opening = np.flatnonzero(first == _opened(model).look_up(np.array([BEGIN]))[0][0])
+            near[opening] = _exact(own, big, opening).astype(np.uint64)
+            start, end = int(bounds[r]), int(bounds[r + 1]) if r + 1 < ranges else offsets[-1]
+            _save_counts(folder, f"near-{r}", near)
+            _save_firsts(folder, r, first - start, near, end - start)
+            n = _of_counts(near)
+        return pa.table({"part": pa.array([r], pa.int32()), "n": pa.array([n], pa.list_(pa.int64()))})
+
+    def every(parts: int, schema: str) -> DataFrame:
+        """A row without a run for each part, so that the files of all are made."""
+        return spark.range(parts).select(*(F.col("id").cast("int").alias(c) if c == "part" else F.lit(None).cast(k).alias(c) for c, k in (x.strip().split(" ") for x in schema.split(","))))
+
+    counted = texts.mapInArrow(top_runs, _RUN).union(every(tops, _RUN)).groupBy("part").applyInArrow(save_tops, _RUN + ", n array<long>")
+    kinds = {r.part: r.n for r in counted.union(every(ranges, _RUN + ", n array<long>")).groupBy("part").applyInArrow(save_near, "part int, n array<long>").collect()}  # a row per range
+    near = [sum(x) for x in zip(*(n for part, n in kinds.items() if part >= 0), strict=True)]
+    return replace(model, discounts=discounts(near), top_discounts=discounts(kinds[-1]))
 
 
 def _before(number: np.ndarray, off: np.ndarray, begin: int) -> np.ndarray:
@@ -369,20 +542,27 @@ def score(t: Texts, model: Model | None) -> tuple[np.ndarray, ...]:
     f, which = (key >> 32) - 1, key & 0xFFFFFFFF
     order = np.lexsort((number[which], f))
     p = np.empty(len(key))
-    p[order] = arrays.probability(f[order], number[which][order], low[which][order])
+    pair = np.empty(len(key), dtype=np.int64)
+    p[order], pair[order] = arrays.probability(f[order], number[which][order], low[which][order])
     logs = np.log10(p)[back]
+    if model.order > 2:
+        before = _before(pair[back], off, -1)
+        at = np.flatnonzero(before >= 0)
+        third = number[inverse][at]
+        at = at[np.argsort((before[at].astype(np.uint64) << np.uint64(32)) | np.maximum(third, 0).astype(np.uint64), kind="stable")]
+        logs[at] = np.log10(arrays.top(before[at], number[inverse[at]], p[back[at]]))
     return n, own, np.bincount(row, weights=base, minlength=t.n), np.bincount(row, weights=logs, minlength=t.n)
 
 
-def perplexity(docs: DataFrame) -> DataFrame:
+def perplexity(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row.
 
-    The model is counted over the rows of the same table that aren't held out.
+    The model, of order 2 or 3, is counted over the rows of the same table that aren't held out.
     A null text is empty: one token, the end.  A null id isn't held out.
     Repeated rows count and score like any other; where nothing could be learnt
     scores are 0.  An empty table gives no row; other columns are ignored.
     """
-    model = train(docs.filter(learns(F.col("doc_id"))))
+    model = train(docs.filter(learns(F.col("doc_id"))), order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

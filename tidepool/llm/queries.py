@@ -59,7 +59,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity(table(spark, sf_dir, "documents"))
+    return perplexity(table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
