@@ -165,3 +165,14 @@ def test_entropy_and_share():
         except UnicodeDecodeError:
             pass
     assert np.isclose(share[0], 1 - whole / len(ids)) and cpt[1] == share[1] == entropy[1] == 0
+
+
+def test_short_clean_texts_are_not_held_to_the_entropy_of_long_ones(spark):
+    from tidepool.llm.quality_rules import LANGUAGE_BANDS, judge
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").filter("lang in ('en', 'de', 'es', 'fr')").collect()
+    good = [(r.lang, " ".join(r.text.split()[:50])) for r in rows if labels.get(r.doc_id) == 1]
+    out = judge(Texts.of([t for _, t in good]), [g for g, _ in good], MULTI, BYTE)
+    low = [i for i, (g, _) in enumerate(good) if not out["base_failed"][i] and out["token_entropy"][i] < LANGUAGE_BANDS[g].entropy and out["chars_per_token"][i] >= LANGUAGE_BANDS[g].chars_per_token[0]]
+    assert low and all(out["kept"][i] for i in low)

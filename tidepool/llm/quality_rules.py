@@ -21,6 +21,8 @@ from .transducer import compiled
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 REPEAT_WINDOW = 3
+#: n tokens reach log2(n) bits at most; the least entropy asked for is never more than this share of it.
+ENTROPY_SHARE = 0.72
 
 
 @dataclass(frozen=True)
@@ -137,6 +139,11 @@ def fertility(t: Texts, vocab_path: str, classes_of: str) -> tuple[np.ndarray, n
     return t.n_chars() / some, share, np.bincount(row, weights=-p * np.log2(p), minlength=t.n)
 
 
+def least_entropy(floor: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
+    """The floor of a band, lower where so few tokens can hardly reach it."""
+    return np.minimum(floor, ENTROPY_SHARE * np.log2(np.maximum(n_tokens, 1)))
+
+
 def judge(t: Texts, langs: list[str | None], vocab_path: str, broad_path: str) -> dict[str, np.ndarray | list]:
     """All statistics and the verdict for each row."""
     out: dict = base_counts(t)
@@ -147,7 +154,7 @@ def judge(t: Texts, langs: list[str | None], vocab_path: str, broad_path: str) -
     bands = [LANGUAGE_BANDS.get(g) or SCRIPT_BANDS[g] for g in names]
     low = np.array([b.chars_per_token[0] for b in bands])
     high = np.array([b.chars_per_token[1] for b in bands])
-    inside = (cpt >= low) & (cpt <= high) & (share <= np.array([b.fallback_share for b in bands])) & (entropy >= np.array([b.entropy for b in bands]))
+    inside = (cpt >= low) & (cpt <= high) & (share <= np.array([b.fallback_share for b in bands])) & (entropy >= least_entropy(np.array([b.entropy for b in bands]), t.n_chars() / np.where(cpt > 0, cpt, 1)))
     out |= {"kept": inside & ~out["base_failed"], "chars_per_token": cpt, "fallback_share": share, "token_entropy": entropy, "broad_chars_per_token": fertility(t, broad_path, broad_path)[0], "band": names}
     return out
 
