@@ -176,3 +176,16 @@ def test_short_clean_texts_are_not_held_to_the_entropy_of_long_ones(spark):
     out = judge(Texts.of([t for _, t in good]), [g for g, _ in good], MULTI, BYTE)
     low = [i for i, (g, _) in enumerate(good) if not out["base_failed"][i] and out["token_entropy"][i] < LANGUAGE_BANDS[g].entropy and out["chars_per_token"][i] >= LANGUAGE_BANDS[g].chars_per_token[0]]
     assert low and all(out["kept"][i] for i in low)
+
+
+def test_what_only_the_second_vocabulary_finds_abnormal_goes(spark):
+    from tidepool.llm.quality_rules import LANGUAGE_BANDS, fertility, judge
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 1500").sort("doc_id")
+    english, spanish = (" ".join([w for r in docs.filter(f"lang = '{g}'").limit(8).collect() for w in r.text.split()][:600]) for g in ("en", "es"))
+    out, broad = judge(Texts.of([english, spanish]), ["en", "en"], MULTI, BYTE), fertility(Texts.of([english, spanish]), BYTE, BYTE)
+    for name, values in zip(("broad_chars_per_token", "broad_fallback_share", "broad_token_entropy"), broad, strict=True):
+        assert name in STATS and np.allclose(out[name], values)
+    b = LANGUAGE_BANDS["en"]  # the first vocabulary has nothing against Spanish that is said to be English
+    assert not out["base_failed"].any() and out["fallback_share"][1] <= b.fallback_share and out["chars_per_token"][1] >= b.chars_per_token[0] and out["token_entropy"][1] >= b.entropy
+    assert out["kept"].tolist() == [True, False]

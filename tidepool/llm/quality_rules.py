@@ -23,6 +23,7 @@ MIN_WORDS = 50
 REPEAT_WINDOW = 3
 #: n tokens reach log2(n) bits at most; the least entropy asked for is never more than this share of it.
 ENTROPY_SHARE = 0.72
+BROAD_ENTROPY_SHARE = 0.67
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,22 @@ SCRIPT_BANDS = {
     "cjk": Band((0.3, 4.0), 0.90, 4.5),
     "other": Band((0.25, 7.0), 0.95, 4.0),
 }
+#: The same for the second vocabulary, which is mostly English: by language as
+#: above, by script wide, as the sample tables have no such documents.
+BROAD_LANGUAGE_BANDS = {
+    "en": Band((2.20, 6.5), 0.10, 5.5),
+    "de": Band((2.05, 6.5), 0.15, 5.5),
+    "es": Band((1.80, 6.5), 0.22, 5.5),
+    "fr": Band((1.88, 6.5), 0.23, 5.5),
+}
+BROAD_SCRIPT_BANDS = {
+    "latin": Band((1.2, 7.0), 0.50, 4.5),
+    "cyrillic": Band((0.3, 7.0), 1.0, 3.5),
+    "greek": Band((0.3, 7.0), 1.0, 3.5),
+    "arabic": Band((0.3, 7.0), 1.0, 3.5),
+    "cjk": Band((0.2, 4.0), 1.0, 3.5),
+    "other": Band((0.2, 7.0), 1.0, 3.5),
+}
 #: Where the letters of a script lie.
 SCRIPTS = {
     "latin": ((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250), (0x1E00, 0x1F00)),
@@ -62,7 +79,8 @@ SCRIPTS = {
 
 STATS = {
     "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean",
-    "chars_per_token": "double", "fallback_share": "double", "token_entropy": "double", "broad_chars_per_token": "double", "band": "string",
+    "chars_per_token": "double", "fallback_share": "double", "token_entropy": "double", "broad_chars_per_token": "double",
+    "broad_fallback_share": "double", "broad_token_entropy": "double", "band": "string",
 }
 
 _symbol = np.zeros(256, dtype=bool)
@@ -139,9 +157,16 @@ def fertility(t: Texts, vocab_path: str, classes_of: str) -> tuple[np.ndarray, n
     return t.n_chars() / some, share, np.bincount(row, weights=-p * np.log2(p), minlength=t.n)
 
 
-def least_entropy(floor: np.ndarray, n_tokens: np.ndarray) -> np.ndarray:
+def least_entropy(floor: np.ndarray, n_tokens: np.ndarray, share: float) -> np.ndarray:
     """The floor of a band, lower where so few tokens can hardly reach it."""
-    return np.minimum(floor, ENTROPY_SHARE * np.log2(np.maximum(n_tokens, 1)))
+    return np.minimum(floor, share * np.log2(np.maximum(n_tokens, 1)))
+
+
+def within(t: Texts, measures: tuple[np.ndarray, ...], bands: list[Band], entropy_share: float) -> np.ndarray:
+    """Whether each row's three measures by a vocabulary lie in its band."""
+    cpt, share, entropy = measures
+    low, high, most, floor = (np.array(x, dtype=float) for x in ([b.chars_per_token[0] for b in bands], [b.chars_per_token[1] for b in bands], [b.fallback_share for b in bands], [b.entropy for b in bands]))
+    return (cpt >= low) & (cpt <= high) & (share <= most) & (entropy >= least_entropy(floor, t.n_chars() / np.where(cpt > 0, cpt, 1), entropy_share))
 
 
 def judge(t: Texts, langs: list[str | None], vocab_path: str, broad_path: str) -> dict[str, np.ndarray | list]:
@@ -149,13 +174,13 @@ def judge(t: Texts, langs: list[str | None], vocab_path: str, broad_path: str) -
     out: dict = base_counts(t)
     n, repeat = out["n_words"], out["n_repeat_words"]
     out["base_failed"] = (n < MIN_WORDS) | (100 * repeat > 50 * n)
-    cpt, share, entropy = fertility(t, vocab_path, broad_path)
+    own, broad = fertility(t, vocab_path, broad_path), fertility(t, broad_path, broad_path)
     names = [g if g in LANGUAGE_BANDS else script_of(t.row_text(i)) for i, g in enumerate(langs)]
-    bands = [LANGUAGE_BANDS.get(g) or SCRIPT_BANDS[g] for g in names]
-    low = np.array([b.chars_per_token[0] for b in bands])
-    high = np.array([b.chars_per_token[1] for b in bands])
-    inside = (cpt >= low) & (cpt <= high) & (share <= np.array([b.fallback_share for b in bands])) & (entropy >= least_entropy(np.array([b.entropy for b in bands]), t.n_chars() / np.where(cpt > 0, cpt, 1)))
-    out |= {"kept": inside & ~out["base_failed"], "chars_per_token": cpt, "fallback_share": share, "token_entropy": entropy, "broad_chars_per_token": fertility(t, broad_path, broad_path)[0], "band": names}
+    inside = within(t, own, [LANGUAGE_BANDS.get(g) or SCRIPT_BANDS[g] for g in names], ENTROPY_SHARE)
+    inside &= within(t, broad, [BROAD_LANGUAGE_BANDS.get(g) or BROAD_SCRIPT_BANDS[g] for g in names], BROAD_ENTROPY_SHARE)
+    out |= {"kept": inside & ~out["base_failed"], "band": names}
+    out |= dict(zip(("chars_per_token", "fallback_share", "token_entropy"), own, strict=True))
+    out |= dict(zip(("broad_chars_per_token", "broad_fallback_share", "broad_token_entropy"), broad, strict=True))
     return out
 
 
@@ -171,9 +196,9 @@ def _judged(batch: pa.RecordBatch, text: int, lang: int, vocab_path: str, broad_
 def quality(docs: DataFrame, vocab_path: str, broad_path: str) -> DataFrame:
     """Statistics and verdict of each document.
 
-    vocab_path: the vocabulary whose fertility is held against the bands;
-    broad_path: a second one, reported beside it, whose file also defines the
-    letter and digit classes.  Returns doc_id and the columns of STATS, one row
+    vocab_path, broad_path: two vocabularies; the three measures by either are
+    held against bands of their own.  The second's file also defines the letter
+    and digit classes.  Returns doc_id and the columns of STATS, one row
     per input row.  A null text is empty: it has no words and fails the base
     rule.  A null or unknown ``lang`` is judged by the script of the text.  An
     empty table gives an empty one; other columns are ignored.  No shuffle.
