@@ -70,6 +70,14 @@ def test_ring_moves_cells_to_the_new_shard_only():
     assert all(x == y or y == 16 for x, y in zip(a, b, strict=True)) and set(b) == set(range(17))
 
 
+@pytest.mark.parametrize("shards", [65, 300])
+def test_many_shards_all_own_cells(spark, shards):
+    assert set(ring(shards, 32)) == set(range(shards))
+    rows = assign(docs_of(spark, [f"t{i}" for i in range(2 * shards + 5)]), shards).collect()
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == 2 * shards + 5 and set(sizes) == set(range(shards)) and set(sizes.values()) == {2, 3}
+
+
 def test_overflow_goes_on_clockwise():
     assert segments({0: 5, 1: 1}, [0, 1, 2, 0], 3) == [(0, 0, 2, 0, 0), (1, 0, 1, 1, 0), (0, 2, 3, 1, 1), (0, 3, 5, 2, 0)]
 

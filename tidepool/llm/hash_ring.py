@@ -8,27 +8,37 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The ring is 2**CELL_BITS cells; a virtual node stands at the end of a cell.
+#: The ring is 2**CELL_BITS cells, more for many shards; a virtual node stands at the end of a cell.
 CELL_BITS = 11
 #: A cell's rows are numbered in so many parts, so that one hot text is many tasks' work.
 SALTS = 64
 
 
+def cell_bits(shards: int, virtual_nodes: int) -> int:
+    """The ring has at least two cells a virtual node, so that each node finds a free one."""
+    return max(CELL_BITS, (2 * shards * virtual_nodes - 1).bit_length())
+
+
 def ring(shards: int, virtual_nodes: int) -> list[int]:
     """The shard that owns each cell: that of the next virtual node clockwise.
 
     A node's place is a hash of its shard and number, or the next free cell after
     those of lower shards, so another shard takes cells over and moves none
-    between the old ones.
+    between the old ones.  Where another shard asks for a finer ring, a node stands
+    in one of the parts of its old cell, so only cells with nodes may move besides.
     """
-    cells = 1 << CELL_BITS
+    bits = cell_bits(shards, virtual_nodes)
+    cells = 1 << bits
     at: dict[int, int] = {}
     for shard in range(shards):
         for node in range(virtual_nodes):
-            p = int.from_bytes(hashlib.md5(f"{shard}/{node}".encode()).digest()[:8]) % cells
-            while p in at and len(at) < cells:
+            digest = int.from_bytes(hashlib.md5(f"{shard}/{node}".encode()).digest()[:8])
+            p = digest % (1 << CELL_BITS)
+            for k in range(CELL_BITS, bits):
+                p = 2 * p + (digest >> k & 1)
+            while p in at:
                 p = (p + 1) % cells
-            at.setdefault(p, shard)
+            at[p] = shard
     owner, nxt = [0] * cells, at[min(at)]
     for c in reversed(range(cells)):
         nxt = at.get(c, nxt)
@@ -93,7 +103,7 @@ def assign(docs: DataFrame, shards: int = 16, virtual_nodes: int = 32, id_col: s
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     place: Column = F.shiftrightunsigned(F.xxhash64(text), 2)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), place.alias("place"))
-    rows = rows.withColumn("cell", F.shiftright("place", 62 - CELL_BITS).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("cell", F.shiftright("place", 62 - cell_bits(shards, virtual_nodes)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
 
     parts = rows.groupBy("cell", "salt").agg(F.count(F.lit(1)).alias("n"))
     counted = parts.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row per cell of the ring
