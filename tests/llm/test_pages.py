@@ -17,6 +17,17 @@ def test_page_without_an_article_element():
     assert main_text(page) == "\n".join(["Head", " ".join(LONG.split()), "So it was.", " ".join(LONG.split())])
 
 
+def test_wrappers_with_a_mark_word_lose_no_text():
+    text, comments = " ".join(LONG.split()), f'<div id="comments"><p>{LONG} said a reader.</p></div>'
+    around = "<nav><a href=x>Home</a></nav>", "<div class='ad'>Buy now</div><footer>&copy; me</footer>"
+    for wrapper in ('<body class="has-sidebar">', '<div id="content-with-ads">', '<form action="./page.aspx">', '<body class="has-header"><form><div class="share-bar">'):
+        for page in (f"<article><p>{LONG}</p><p>So it was.</p>{comments}</article>", f"<div><p>{LONG}</p><p>So it was.</p><p>{LONG}</p></div>"):
+            want = [text, "So it was."] + [text] * ("<article" not in page)
+            assert main_text(wrapper + around[0] + page + around[1]) == "\n".join(want)
+    assert main_text(f"<article><p>{LONG}</p></article><div class=related><article><p>Another one.</p></article></div>") == text
+    assert main_text(f"<article><p>A.</p></article>{comments}") == "A." and main_text(f"<div hidden><p>{LONG}</p></div>") == ""
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<p") == main_text("<script>x") == main_text("<!-- a") == ""
     assert main_text("<article><p>a < b &lt; c</p><p><b>open") == "a < b < c\nopen"

@@ -56,18 +56,19 @@ class Block:
     marked: bool
     article: bool
     heading: bool
+    marks: tuple[int, ...] = ()  # what marks it: 0 what holds whatever the page, else a container's number
     label: str = ""
 
 
-def _marks(attributes: str) -> tuple[bool, bool, bool]:
-    """(isn't article, is a header, is the article's body)."""
-    bad = header = body = False
+def _marks(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """(isn't article, is a header, is the article's body, isn't shown)."""
+    bad = header = body = unseen = False
     for name, *values in _ATTR.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            bad = True
+            unseen = True
         elif name == "style":
-            bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            unseen |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         elif name == "itemprop":
             body |= value.lower() == "articlebody"
         else:
@@ -75,7 +76,7 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
             bad |= bool(parts & MARKS)
             header |= bool(parts & HEADER_MARKS)
             body |= name == "role" and "main" in parts
-    return bad, header, body
+    return bad or unseen, header, body, unseen
 
 
 def blocks(html: str) -> list[Block]:
@@ -84,15 +85,17 @@ def blocks(html: str) -> list[Block]:
     text: list[str] = []
     linked = in_link = 0
     leaf_marked = heading = False
-    # open containers: (element, marked, in an article, hidden)
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # open containers: (element, marks, in an article, hidden)
+    stack: list[tuple[str, tuple[int, ...], bool, bool]] = [("", (), False, False)]
+    containers = 0
 
     def close() -> None:
         nonlocal linked
         if text:
             whole = _SPACE.sub(" ", unescape("".join(text))).strip()
             if whole and not stack[-1][3]:
-                out.append(Block(whole, linked, stack[-1][1] or leaf_marked, stack[-1][2], heading))
+                marks = stack[-1][1] + (0,) * leaf_marked
+                out.append(Block(whole, linked, bool(marks), stack[-1][2], heading, marks))
             text.clear()
         linked = 0
 
@@ -136,7 +139,7 @@ def blocks(html: str) -> list[Block]:
             continue
         if name in LEAF:
             # a paragraph, item or heading: its marks hold until the next block begins
-            leaf_marked = not ends and _marks(attributes)[0] if attributes or ends else False
+            leaf_marked = bool(not ends and attributes and _marks(attributes)[0])
             heading = not ends and name in HEADING
             in_link = 0
             continue
@@ -148,17 +151,52 @@ def blocks(html: str) -> list[Block]:
                     break
             in_link = 0
             continue
-        _, marked, article, hidden = stack[-1]
-        bad, header, body = _marks(attributes) if attributes else (False, False, False)
+        _, marks, article, hidden = stack[-1]
+        bad, header, body, unseen = _marks(attributes) if attributes else (False, False, False, False)
         article = article or name in ARTICLE or body
-        header = header or name == "header"
-        stack.append((name, marked or bad or name in BOILERPLATE or header and not article, article, hidden or name in HIDDEN))
+        if unseen or name in BOILERPLATE and name != "form" or name == "header" and not article:
+            marks += (0,)
+        elif bad or name == "form" or header and not article:
+            containers += 1
+            marks += (containers,)
+        stack.append((name, marks, article, hidden or name in HIDDEN))
     close()
     return out
 
 
+def _reads_well(b: Block) -> bool:
+    words = _WORD.findall(b.text.lower())
+    return len(b.text) >= LONG and b.linked <= LINK_HIGH * len(b.text) and sum(w in STOP_WORDS for w in words) >= STOP_HIGH * max(1, len(words))
+
+
+def unwrap(found: list[Block]) -> None:
+    """Take back the marks of containers around a page's only text.
+
+    While no article, or else no long block of prose, is free of marks, the
+    class, id or form that holds the most of such text marks nothing more.
+    Outside articles it must hold half of the page's text, as a wrapper does.
+    """
+    articles = [b for b in found if b.article and 0 not in b.marks]
+    prose = [b for b in found if 0 not in b.marks and _reads_well(b)]
+    whole = sum(len(b.text) for b in found)
+    while articles or prose:
+        if any(not b.marked for b in articles + prose):
+            return
+        size: dict[int, int] = {}
+        for b in articles or prose:
+            for k in b.marks:
+                size[k] = size.get(k, 0) + len(b.text)
+        around = max(size, key=lambda k: (size[k], -k))
+        if not articles and 2 * sum(len(b.text) for b in found if around in b.marks) < whole:
+            return
+        for b in found:
+            b.marks = tuple(k for k in b.marks if k != around)
+            b.marked = bool(b.marks)
+
+
 def classify(found: list[Block]) -> None:
     """Give every block its label: good or bad."""
+    unwrap(found)
     region = any(b.article and not b.marked for b in found)
     for b in found:
         size = len(b.text)
