@@ -154,6 +154,14 @@ def test_language_odd_rows(spark):
     assert keep_identified(odd(spark)).columns == odd(spark).columns
 
 
+def test_without_a_model_lettered_documents_stay(spark):
+    rows = odd(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert Counter(repr(r.doc_id) for r in keep_identified(rows).collect()) == Counter(repr(r[0]) for r in odd_rows() if any(c.isalpha() for c in r[1] or ""))
+    blind = spark.createDataFrame([(i, text(i, 9), "en") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0], "doc_id long, text string, lang string")
+    assert keep_identified(blind).count() == blind.count() > 0
+    assert keep_identified(empty(spark)).count() == 0 and keep_identified(blind.withColumn("text", F.lit(""))).count() == 0
+
+
 # -- n-gram Jaccard join -----------------------------------------------------------
 
 

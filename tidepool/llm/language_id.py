@@ -231,7 +231,11 @@ def identify(docs: DataFrame, how: Training = Training()) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, how: Training = Training()) -> DataFrame:
-    """The rows whose language is known with at least that probability, with all their columns."""
+    """The rows whose language is known with at least that probability, with all their columns.
+
+    Where nothing could be learnt (no row with a label that may be learnt from)
+    no language is known of any row, and all rows with a letter are kept.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, how))
     text = docs.columns.index("text")
 
@@ -239,7 +243,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5, how: Training = Trainin
         release()
         for batch in batches:
             for first, last, t in slices(batch.column(text)):
-                label, score = predict(t, model.value)
-                yield batch.slice(first, last - first).filter(pa.array((score >= least) & (np.array(label) != UNKNOWN)))
+                if model.value is None:
+                    keep = np.zeros(t.n, dtype=bool)
+                    keep[[i for i, _, _ in documents(t)] if len(t.data) else []] = True
+                else:
+                    label, score = predict(t, model.value)
+                    keep = (score >= least) & (np.array(label) != UNKNOWN)
+                yield batch.slice(first, last - first).filter(pa.array(keep))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
