@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.components import components
 from tidepool.llm.hash_ring import assign, ring, segments
 from tidepool.llm.imatch import fingerprints
-from tidepool.llm.jaccard_join import classes, representatives
+from tidepool.llm.jaccard_join import Rule, classes, representatives
 from tidepool.llm.language_id import identify, keep_identified
 from tidepool.llm.language_model import discounts, perplexity
 from tidepool.llm.mixing import mixed_documents, solve, temperature_mix
@@ -196,14 +196,14 @@ def test_classes_equal_brute_force(spark):
     common = [" ".join([f"own{i}_{j}" for j in range(9)] + base[:20]) for i in range(12)]  # a shared passage
     texts = [*chain, " ".join(base), *near, *common, "a b c", "A B C", "a b", "", None, "a b c d", " a  b\nc\td "]
     docs = docs_of(spark, texts)
-    got = Counter((repr(r.doc_id), r.n_shingles, r.component_id) for r in classes(docs).collect())
+    got = Counter((repr(r.doc_id), r.n_shingles, r.component_id) for r in classes(docs, Rule(4, 85)).collect())
     assert got == brute_classes(list(enumerate(texts)))
 
 
 @pytest.mark.parametrize("which", [documents, odd])
 def test_classes_of_tables(spark, which):
     rows = [(r.doc_id, r.text) for r in which(spark).collect()]
-    assert Counter((repr(r.doc_id), r.n_shingles, r.component_id) for r in classes(which(spark)).collect()) == brute_classes(rows)
+    assert Counter((repr(r.doc_id), r.n_shingles, r.component_id) for r in classes(which(spark), Rule(4, 85)).collect()) == brute_classes(rows)
 
 
 def test_one_of_each_class_stays(spark):

@@ -6,7 +6,12 @@ share an n-gram among the first few of each (the prefix), so only n-grams of
 prefixes are joined.  Candidates are pruned by the lengths of the sets, by the
 positions and the number of the shared n-grams, and by a bound on the overlap of the rest (the
 counts of both sets in SUFFIX_BINS ranges of the hash), and each pair that is
-left is verified once on the whole sets.
+left is verified once on the words of both texts.
+
+The order comes from counts over all texts.  A run of texts sends each n-gram's
+leading bits once to the range that counts them (``_counted``); what comes back is
+how frequent the run's n-grams are, without those that no other text has.  These
+come first in the order and are never joined, so they leave no row at all.
 
 Links are found in rounds.  In each, of all classes that share a prefix n-gram
 only pairs with one leader are verified, per component found so far: the class
@@ -18,36 +23,43 @@ different components is missed and a group of n near copies costs about n pairs.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import dropped, ship, written
+from .runs import pack_counts, pack_keys, summed, unpack_counts, unpack_keys
+from .runtime import dropped, looked_up, ship, written
 from .textbatch import Texts, mix64, slices, windows
 from .transducer import release
-from .vectors import SCHEMA, merged, packed
 
-#: Width of the sketch of document frequencies that orders the n-grams; a power of two.
-SKETCH = 1 << 24
-_FULL = 65535  # a counter stays there
+#: Bytes of text to a run: what is counted, sent and looked up together.
+RUN_BYTES = 8 << 20
+#: N-grams to a range of counts: what one task sorts.
+RANGE_GRAMS = 1 << 22
 SUFFIX_BINS = 32
+#: Classes whose sizes differ by less than this factor are in one band of lengths.
+BAND = 1.02
 #: Rounds with leaders before the one that verifies all pairs left.
 LEADER_ROUNDS = 1
-#: Bits of the filter that says which texts' sets are asked for: 8 MB.
-ASKED_BITS = 1 << 26
+#: So many classes (8 bytes each) are looked for by a broadcast, more by a shuffle.
+BROADCAST_SETS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Rule:
     """Two sets link when 100 * intersection >= percent * union."""
 
-    words: int = 4
-    percent: int = 85
+    words: int = 5
+    percent: int = 80
 
     def least_overlap(self, total):
         """The least intersection of two linked sets whose sizes sum to ``total``."""
@@ -92,71 +104,121 @@ def signatures(grams: np.ndarray, off: np.ndarray) -> np.ndarray:
     return sig
 
 
-def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(_FULL, a.astype(np.uint32) + b).astype(np.uint16)
-
-
-def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """A row per document (doc_id, n, sig, bins) and, with a part, the task's share of the sketch."""
+def _described(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n, sig, bins, run, text of every row; of equal sets in a run one keeps its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        sketch = np.zeros(SKETCH, dtype=np.uint16)
-        kind, any_ = None, False
-        names = ["doc_id", "n", "sig", "bins", "part", "blob"]
+        name, held, seen = 0, RUN_BYTES, set()
         for batch in batches:
-            kind = batch.column(0).type
             for first, last, t in slices(batch.column(1)):
+                if held + len(t.data) > RUN_BYTES:
+                    name, held, seen = uuid.uuid4().int >> 65, 0, set()
+                held += len(t.data)
                 grams, off = shingle_sets(t, rule.words)
-                n, any_ = np.diff(off), True
-                at, times = np.unique((grams & np.uint64(SKETCH - 1)).astype(np.int64), return_counts=True)
-                sketch[at] = np.minimum(_FULL, sketch[at] + times)
+                n, sig = np.diff(off), signatures(grams, off)
+                new = [bool(s) and s not in seen and seen.add(s) is None for s in sig.tolist()]
                 rows = np.repeat(np.arange(t.n), n)
                 bins = np.bincount(rows * SUFFIX_BINS + (grams >> np.uint64(59)).astype(np.int64), minlength=t.n * SUFFIX_BINS).astype("<u4").tobytes()
                 width = 4 * SUFFIX_BINS
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), pa.array(signatures(grams, off).view(np.int64)), pa.array([bins[i * width : (i + 1) * width] for i in range(t.n)], pa.binary()), pa.nulls(t.n, pa.int32()), pa.nulls(t.n, pa.binary())], names=names)
-        if any_:
-            p = packed(sketch)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(p), kind), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.binary()), *p.columns], names=names)
+                text = batch.column(1).slice(first, last - first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(n), pa.array(sig.view(np.int64)), pa.array([bins[i * width : (i + 1) * width] if new[i] else None for i in range(t.n)], pa.binary()), pa.array(np.full(t.n, name)), pc.if_else(pa.array(new), text, pa.scalar(None, text.type))],
+                    names=["doc_id", "n", "sig", "bins", "run", "text"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig long, bins binary, part int, blob binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig long, bins binary, run long, text string")
+
 
+_COUNTED = "part int, run long, keys binary, counts binary"
 
-def _prefixes(docs: DataFrame, rule: Rule, rarity) -> DataFrame:
-    """gram, sig, n, pos, holder, common for the prefix of each set; a task gives a set once.
 
-    holder: the hash of the id of a document that has the set.  common: how
-    frequent the n-grams of the prefix are on average; the base of a group of
-    near copies has none of their own rare n-grams and so the highest.
+def _counted(texts: DataFrame, rule: Rule, total: int) -> tuple[DataFrame, np.uint64]:
+    """How frequent the n-grams of each run are (run, keys, ranks), without those of one text only; and what a hash is shifted by.
+
+    An n-gram is counted by the leading bits of its hash, 10 more than it takes
+    to number all; where two share them both only seem more frequent.  A run
+    sends a key once, however many of its texts have it.
     """
+    shift = np.uint64(max(0, 64 - (total.bit_length() + 10)))
+    parts = max(1, -(-total // RANGE_GRAMS))
+    bounds = np.array([(part << 64) // parts for part in range(parts)], dtype=np.uint64) >> shift
+
+    def sent(name: int, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own, counts = np.unique(np.concatenate(keys), return_counts=True)
+        cut = np.append(np.searchsorted(own, bounds), len(own))
+        rows = [(p, name, pack_keys(own[a:b]), pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "run", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        seen: set[int] = set()
+        name, keys = None, []
         for batch in batches:
-            for first, last, t in slices(batch.column(1)):
-                holder = np.asarray(batch.column(0).slice(first, last - first))
-                grams, off = shingle_sets(t, rule.words)
-                sig, n = signatures(grams, off), np.diff(off)
-                new = np.zeros(t.n, dtype=bool)
-                for i in np.flatnonzero(n):
-                    if int(sig[i]) not in seen:
-                        seen.add(int(sig[i]))
-                        new[i] = True
-                row = np.repeat(np.arange(t.n), n)
-                keep = new[row]
-                grams, row = grams[keep], row[keep]
-                rare = rarity.value[(grams & np.uint64(SKETCH - 1)).astype(np.int64)]
-                order = np.lexsort((grams, rare, row))
-                grams, rare = grams[order], rare[order]
-                begin = np.searchsorted(row, np.arange(t.n))
-                pos = np.arange(len(grams)) - begin[row]
-                take = pos < rule.prefix(n)[row]
-                common = (1000 * np.bincount(row[take], weights=rare[take], minlength=t.n) / np.maximum(rule.prefix(n), 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[take].view(np.int64)), pa.array(sig[row[take]].view(np.int64)), pa.array(n[row[take]].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(holder[row[take]]), pa.array(common[row[take]])], names=["gram", "sig", "n", "pos", "holder", "common"])
-
-    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "gram long, sig long, n int, pos int, holder long, common int")
+            names = np.asarray(batch.column(0))
+            cuts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else []
+            for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
+                if keys and names[a] != name:
+                    yield from sent(name, keys)
+                    keys = []
+                name = int(names[a])
+                keys += [shingle_sets(t, rule.words)[0] >> shift for _, _, t in slices(batch.column(1).slice(a, b - a))]
+        if keys:
+            yield from sent(name, keys)
+
+    def shared(group: pa.Table) -> pa.Table:
+        runs = group.column("run").to_pylist()
+        keys = [unpack_keys(b) for b in group.column("keys").to_pylist()]
+        every, count = summed(np.concatenate(keys), np.concatenate([unpack_counts(b) for b in group.column("counts").to_pylist()]))
+        every, count = every[count > 1], count[count > 1]
+        rank = np.minimum(255, np.round(8 * np.log2(count))).astype(np.uint8)
+        rows = []
+        for name, own in zip(runs, keys, strict=True):
+            at = np.minimum(np.searchsorted(every, own), max(0, len(every) - 1))
+            hit = every[at] == own if len(every) else np.zeros(len(own), dtype=bool)
+            if hit.any():
+                rows.append((name, pack_keys(own[hit]), zlib.compress(rank[at[hit]].tobytes(), 1)))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["run", "keys", "ranks"])
+
+    return texts.select("run", "text").mapInArrow(run, _COUNTED).groupBy("part").applyInArrow(shared, "run long, keys binary, ranks binary"), shift
+
+
+def _prefixes(texts: DataFrame, rule: Rule, total: int) -> DataFrame:
+    """gram, sig, n, pos, common for the n-grams in the prefix of each set that others have too.
+
+    common: how frequent the n-grams of the prefix are on average; the base of a
+    group of near copies has none of their own rare n-grams and so the highest.
+    """
+    ranks, shift = _counted(texts, rule, total)
+
+    def prefix(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.zeros(0, np.uint64), *(unpack_keys(b) for b in right.column("keys").to_pylist())])
+        rank = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(zlib.decompress(b), dtype=np.uint8) for b in right.column("ranks").to_pylist())])
+        order = np.argsort(keys)
+        keys, rank = keys[order], rank[order]
+        out = [[] for _ in range(5)]
+        for _, _, t in slices(left.column("text")):
+            grams, off = shingle_sets(t, rule.words)
+            sig, n = signatures(grams, off), np.diff(off)
+            row = np.repeat(np.arange(t.n), n)
+            rare = np.zeros(len(grams), dtype=np.uint8)
+            if len(keys):
+                own = grams >> shift
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                rare = np.where(keys[at] == own, rank[at], 0)
+            order = np.lexsort((grams, rare, row))
+            grams, rare = grams[order], rare[order]
+            pos = np.arange(len(grams)) - off[row]
+            take = pos < rule.prefix(n)[row]
+            common = (1000 * np.bincount(row[take], weights=rare[take], minlength=t.n) / np.maximum(rule.prefix(n), 1)).astype(np.int32)
+            take &= rare > 0
+            for a, v in zip(out, (grams[take].view(np.int64), sig[row[take]].view(np.int64), n[row[take]].astype(np.int32), pos[take].astype(np.int32), common[row[take]]), strict=True):
+                a.append(v)
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+        return pa.Table.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *a])) for a, k in zip(out, kinds, strict=True)], names=["gram", "sig", "n", "pos", "common"])
+
+    by_run = texts.select("run", "text").groupBy("run").cogroup(ranks.groupBy("run"))
+    return by_run.applyInArrow(prefix, "gram long, sig long, n int, pos int, common int")
 
 
 def _least(rule: Rule, na: Column, nb: Column) -> Column:
@@ -182,61 +244,46 @@ def _alike(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ba, bb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SUFFIX_BINS).astype(np.int64) for c in (5, 7))
-            total = np.asarray(batch.column(4)) + np.asarray(batch.column(6))
+            ba, bb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SUFFIX_BINS).astype(np.int64) for c in (3, 5))
+            total = np.asarray(batch.column(2)) + np.asarray(batch.column(4))
             most = np.minimum(ba, bb).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "ha", "hb"]).filter(pa.array(most >= rule.least_overlap(total)))
-
-    return both.select("a", "b", "ha", "hb", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long, ha long, hb long")
-
-
-def _asked(holders: DataFrame) -> np.ndarray:
-    """A bitmap of the hashed ids in all columns: fixed in size, it only ever lets too many through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(ASKED_BITS // 8, dtype=np.uint8)
-        for batch in batches:
-            h = np.concatenate([np.asarray(c) for c in batch.columns]).astype(np.int64) & (ASKED_BITS - 1)
-            np.bitwise_or.at(bits, h >> 3, np.left_shift(1, h & 7).astype(np.uint8))
-        yield packed(bits)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(most >= rule.least_overlap(total)))
 
-    return merged(holders.mapInArrow(run, SCHEMA), "u1", np.bitwise_or)
+    return both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_asked(pairs.select("ha", "hb")))
+def _words(text: str, size: int) -> set[tuple[bytes, ...]]:
+    """The n-grams of a text, as the words themselves."""
+    own = text.encode().lower().split()
+    return set(zip(*(own[i:] for i in range(size)), strict=False)) if len(own) >= size else {tuple(own)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        seen: set[int] = set()
-        for batch in batches:
-            h = np.asarray(batch.column(0)).astype(np.int64) & (ASKED_BITS - 1)
-            hit = ((bits.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1).astype(bool) if len(bits.value) else np.zeros(len(h), dtype=bool)
-            for _, _, t in slices(batch.column(1).filter(pa.array(hit))):
-                grams, off = shingle_sets(t, rule.words)
-                sig = signatures(grams, off)
-                at = [i for i in range(t.n) if sig[i] and int(sig[i]) not in seen and not seen.add(int(sig[i]))]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array([grams[off[i] : off[i + 1]].tobytes() for i in at], pa.binary())], names=["sig", "grams"])
 
-    found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "sig long, grams binary")
-    # a set may come from several tasks: all are equal
-    sets = written(spark, found.groupBy("sig").agg(F.first("grams").alias("grams")), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("gb")), "b")
+def _verified(texts: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the threshold, by their words."""
+    spark = texts.sparkSession
+    asked = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "jaccard-asked")
+    few = asked.count() <= BROADCAST_SETS
+    found = texts.select("sig", "text").join(F.broadcast(asked) if few else asked, "sig", "left_semi")
+    # a set may come from several runs: any of its texts has all of its n-grams
+    sets = written(spark, found.groupBy("sig").agg(F.first("text").alias("text")), "jaccard-sets")
+    both = pairs.select("a", "b").join(sets.select(F.col("sig").alias("a"), F.col("text").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        last: dict[int, tuple[int | None, set]] = {0: (None, set()), 1: (None, set())}
         for batch in batches:
-            ok = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint64) for c in (2, 3))
-                both_ = np.concatenate([x, y])
-                both_.sort()
-                same = int((both_[1:] == both_[:-1]).sum())
-                ok[i] = 100 * same >= rule.percent * (len(both_) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    out = written(spark, both.select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long"), "jaccard-links")
+            ok = []
+            for i, ends in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                for k, end in enumerate(ends):
+                    if last[k][0] != end:  # neighbours often share an end
+                        last[k] = end, _words(batch.column(2 + k)[i].as_py(), rule.words)
+                x, y = last[0][1], last[1][1]
+                same = len(x & y)
+                ok.append(100 * same >= rule.percent * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    out = written(spark, both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "jaccard-links")
+    dropped(spark, asked)
     dropped(spark, sets)
     return out
 
@@ -244,41 +291,50 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return rows.withColumn("root", F.col("sig"))
-    return rows.join(roots.withColumnRenamed("root", "_root"), rows["sig"] == roots["node"], "left").withColumn("root", F.coalesce("_root", "sig")).drop("node", "_root")
+    return rows.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
 
 
 def _named(joined: DataFrame, x: str, y: str, rule: Rule) -> DataFrame:
-    """Each pair once, the smaller name first, with a holder of either set.
+    """Each pair once, the smaller name first.
 
     The positional filter once more, over all n-grams that named the pair: the
-    overlap is at most their number (more, if a set came from several tasks) and
-    what follows the last of them in the set with less left.
+    overlap is at most their number and what follows the last of them in the set
+    with less left.
     """
     low = F.col(f"{x}.sig") < F.col(f"{y}.sig")
     pick = lambda c, p, q: F.when(low, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}"))
-    ends = [pick(c, p, q).alias(f"{c}_{e}") for c in ("sig", "holder", "n", "pos") for e, p, q in (("a", x, y), ("b", y, x))]
-    pairs = joined.select(*ends).groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(
-        F.min("holder_a").alias("ha"), F.min("holder_b").alias("hb"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"),
-        F.max("pos_a").alias("la"), F.max("pos_b").alias("lb"), F.count(F.lit(1)).alias("met"),
-    )
+    ends = [pick(c, p, q).alias(f"{c}_{e}") for c in ("sig", "n", "pos") for e, p, q in (("a", x, y), ("b", y, x))]
+    pairs = joined.select(*ends).groupBy(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).agg(F.first("n_a").alias("na"), F.first("n_b").alias("nb"), F.max("pos_a").alias("la"), F.max("pos_b").alias("lb"), F.count(F.lit(1)).alias("met"))
     na, nb = F.col("na"), F.col("nb")
     most = F.col("met") + F.least(na - F.col("la"), nb - F.col("lb")) - 1
-    return pairs.filter(most >= _least(rule, na, nb)).select("a", "b", "ha", "hb")
+    return pairs.filter(most >= _least(rule, na, nb)).select("a", "b")
 
 
 def _leader_pairs(posts: DataFrame, rule: Rule) -> DataFrame:
     """Each class with its n-gram's leader, unless they are connected already."""
-    lead = posts.groupBy("gram").agg(F.max(F.struct("common", "sig", "n", "pos", "root", "holder")).alias("l"))
+    lead = posts.groupBy("gram").agg(F.max(F.struct("common", "sig", "n", "pos", "root")).alias("l"))
     p = posts.alias("p").join(lead.select(F.col("gram").alias("g"), F.col("l.*")).alias("l"), F.col("p.gram") == F.col("g"))
     return _named(p.filter((F.col("p.root") != F.col("l.root")) & _possible(rule, "p", "l")), "p", "l", rule)
 
 
 def _all_pairs(posts: DataFrame, rule: Rule) -> DataFrame:
-    """Every pair of an n-gram whose classes are not connected yet."""
-    open_ = posts.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
-    left = posts.join(open_, "gram", "left_semi")
-    p = left.alias("p").join(left.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.sig") < F.col("q.sig")))
-    return _named(p.filter((F.col("p.root") != F.col("q.root")) & _possible(rule, "p", "q")), "p", "q", rule)
+    """Every pair of an n-gram whose classes are not connected yet.
+
+    Sizes are dealt to narrow bands.  What a band holds of an n-gram (its least
+    size, the largest size that one of its rows could link with, its roots) says
+    whether a row can meet a partner there; only such rows are joined with it, so
+    many texts that share a passage too short for a link make no pairs.
+    """
+    n, band = F.col("n"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
+    cap = F.floor((n - F.col("pos")) * (100 + rule.percent) / rule.percent) - n  # the largest size that _possible allows beside this row
+    rows = posts.withColumn("band", band).withColumn("cap", cap)
+    held = rows.groupBy("gram", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("cap").alias("top"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    bands = held.groupBy("gram").agg(F.collect_list(F.struct("band", "least", "most", "top", "lo", "hi")).alias("bands"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("gram", "bands")
+    meets = lambda b: (b["band"] <= F.col("band")) & (b["least"] <= F.col("cap")) & (b["top"] >= n) & (100 * b["most"] >= rule.percent * n) & ((b["lo"] != F.col("root")) | (b["hi"] != F.col("root")))
+    asks = rows.join(bands, "gram").withColumn("at", F.explode(F.filter("bands", meets))).select("gram", F.col("at.band").alias("band"), "sig", "n", "pos", "root")
+    p = asks.alias("p").join(rows.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.band") == F.col("q.band")))
+    larger = (F.col("q.n") < F.col("p.n")) | (F.col("q.n") == F.col("p.n")) & (F.col("q.sig") < F.col("p.sig"))
+    return _named(p.filter(larger & (F.col("p.root") != F.col("q.root")) & _possible(rule, "p", "q")), "p", "q", rule)
 
 
 def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -294,35 +350,51 @@ def classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    described = written(spark, _describe(docs, rule), "jaccard-rows")
-    members = described.filter("part IS NULL").select("doc_id", "n", "sig", "bins")
-    # how rare an n-gram is: a rough logarithm of the documents that hold one of its bucket
-    count = merged(described.filter("part IS NOT NULL").select("part", "blob"), "u2", _added, lambda v: np.minimum(255, np.round(16 * np.log2(v + 1.0))).astype(np.uint8))
-    rarity = spark.sparkContext.broadcast(count)  # SKETCH bytes
-    sets = written(spark, members.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("bins").alias("bins")), "jaccard-bins")
-
-    # n-grams that two classes have in their prefixes; the counting is done before the shuffle
-    # as far as a task sees them, and the join can split a hot n-gram over tasks
-    prefixes = written(spark, _prefixes(docs, rule, rarity), "jaccard-prefixes")
+    described = written(spark, _described(docs, rule), "jaccard-rows")
+    texts = described.filter("text IS NOT NULL")
+    sets = texts.groupBy("sig").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
+    total = texts.agg(F.sum("n")).collect()[0][0] or 0
+
+    # n-grams that two classes have in their prefixes; a class that several runs hold counts once
+    prefixes = written(spark, _prefixes(texts, rule, total), "jaccard-prefixes")
     shared = prefixes.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo <> hi").select("gram")
-    posts = written(spark, prefixes.join(shared, "gram", "left_semi"), "jaccard-posts")
+    posts = written(spark, prefixes.join(shared, "gram", "left_semi").groupBy("gram", "sig").agg(*(F.first(c).alias(c) for c in ("n", "pos", "common"))), "jaccard-posts")
     dropped(spark, prefixes)
 
-    links, roots = None, None
+    links, roots = [], None
     for k in range(LEADER_ROUNDS + 1):
         rooted = _rooted(posts, roots)
         found = _leader_pairs(rooted, rule) if k < LEADER_ROUNDS else _all_pairs(rooted, rule)
         pairs = written(spark, _alike(found, sets, rule), "jaccard-pairs")
         if not pairs.isEmpty():
-            good = _verified(docs, pairs, rule)
-            links = good if links is None else links.union(good)
-            roots = components(links)
+            links.append(_verified(texts, pairs, rule))
+            if roots is not None:
+                dropped(spark, roots)
+            roots = written(spark, components(reduce(DataFrame.union, links)), "jaccard-roots")
         dropped(spark, pairs)
 
-    near = _rooted(members.select("doc_id", "n", "sig"), roots)
-    ids = near.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = near.join(ids.withColumnRenamed("root", "_root"), (near["root"] == F.col("_root")) & (near["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    rows = described.select("doc_id", "n", "sig")
+    names = _names(rows.filter("n > 0"), roots)
+    worded = looked_up(rows.filter("n > 0"), names, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    none = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = written(spark, worded.unionByName(none), "jaccard-classes")
+    for used in (described, posts, names, *links, *([] if roots is None else [roots])):
+        dropped(spark, used)
+    return out
+
+
+def _names(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """sig and the least doc_id of its component, for every class that isn't a row of its own."""
+    spark = rows.sparkSession
+    each = rows.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    if roots is None:
+        return written(spark, each.filter("rows > 1").select("sig", "least"), "jaccard-names")
+    linked = written(spark, roots.select(F.col("node").alias("sig"), "root").join(each.select("sig", "least"), "sig"), "jaccard-linked")
+    of_root = looked_up(linked.select("sig", "root"), linked.groupBy("root").agg(F.min("least").alias("least")), "root").select("sig", "least")
+    alone = each.filter("rows > 1").join(linked.select("sig"), "sig", "left_anti").select("sig", "least")
+    out = written(spark, of_root.unionByName(alone), "jaccard-names")
+    dropped(spark, linked)
+    return out
 
 
 def representatives(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

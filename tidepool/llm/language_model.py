@@ -21,7 +21,6 @@ compressed differences.  Nothing is pruned.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -31,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runs import pack_counts, pack_keys, summed, unpack_counts, unpack_keys
 from .runtime import dropped, shared_dir, ship, written
 from .shared_files import load, save
 from .textbatch import Texts, slices
@@ -68,35 +68,6 @@ class Model:
     top_discounts: tuple[float, float, float] = (0.0,) * 3  # of trigrams
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as compressed planes of their differences."""
-    step = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return zlib.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpack_keys(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<u4").tobytes(), 1)
-
-
-def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), dtype="<u4").astype(np.uint64)
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    if not len(keys):
-        return keys.astype(np.uint64), counts.astype(np.uint64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts, first)
-
-
 def _run(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([pack_counts(counts)], pa.binary())], names=["part", "keys", "counts"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .hash_ring import assign
 from .html_text import extract
 from .imatch import fingerprints
-from .jaccard_join import classes
+from .jaccard_join import Rule, classes
 from .language_id import identify
 from .language_model import perplexity
 from .mixing import temperature_mix
@@ -55,7 +55,7 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"), Rule(words=4, percent=85))
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

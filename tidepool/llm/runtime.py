@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parents[2]
 
@@ -47,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here."""
     path = f"{shared_dir(spark)}/tidepool/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,5 +60,24 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: A key with more than this share of all rows is hot, so there are at most as many hot keys as its inverse.
+HOT_SHARE, HOT_ROWS = 1e-4, 5_000
+
+
+def looked_up(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of names (one row per key), null where it has none.
+
+    Rows of hot keys stay where they are and take their names from a broadcast,
+    which has 1 / HOT_SHARE rows at most; only the others are shuffled.
+    """
+    cut = max(HOT_ROWS, int(rows.count() * HOT_SHARE))
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > cut) & F.col(key).isNotNull()).select(key)
+    hot = written(rows.sparkSession, hot.join(names, key, "left"), "hot")
+    if hot.isEmpty():
+        return rows.join(names, key, "left")
+    some = rows.join(F.broadcast(hot), key)
+    return some.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(names, key, "left"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
