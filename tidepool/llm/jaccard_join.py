@@ -31,7 +31,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +122,7 @@ def _described(docs: DataFrame, rule: Rule) -> DataFrame:
                 width = 4 * SUFFIX_BINS
                 text = batch.column(1).slice(first, last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(n), pa.array(sig.view(np.int64)), pa.array([bins[i * width : (i + 1) * width] if new[i] else None for i in range(t.n)], pa.binary()), pa.array(np.full(t.n, name)), pc.if_else(pa.array(new), text, pa.scalar(None, text.type))],
+                    [batch.column(0).slice(first, last - first), pa.array(n), pa.array(sig.view(np.int64)), pa.array([bins[i * width : (i + 1) * width] if new[i] else None for i in range(t.n)], pa.binary()), pa.array(np.full(t.n, name)), text.take(pa.array([i if new[i] else None for i in range(t.n)], pa.int64()))],
                     names=["doc_id", "n", "sig", "bins", "run", "text"],
                 )
 
