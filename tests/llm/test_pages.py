@@ -1,3 +1,9 @@
+import re
+from collections import Counter
+
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 from tidepool.llm.html_text import extract, main_text
 
 LONG = "The house on the hill was built by the people who came to it from the sea and it is old, for it was there when the town was not. " * 2
@@ -42,11 +48,46 @@ def test_pages_table(spark):
     assert extract(df.limit(0)).count() == 0
 
 
-def test_all_sample_pages_give_their_article(spark):
+def article_of(page):
     import html
     import re
 
-    for r in extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect():
-        own = r.html[r.html.index("<article>") : r.html.index("</article>")]
-        parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in re.split(r"</?(?:p|h1|article)>", own))
-        assert r.text == "\n".join(p for p in parts if p)
+    own = page[page.index("<article>") : page.index("</article>")]
+    parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip() for x in re.split(r"</?(?:p|h1|article)>", own))
+    return "\n".join(p for p in parts if p)
+
+
+def test_all_sample_pages_give_their_article_with_and_without_its_element(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    want = {r.page_id: article_of(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in extract(pages).collect()} == want
+    renamed = pages.withColumn("html", F.regexp_replace("html", "(</?)(article|main)>", "$1div>"))
+    assert {r.page_id: r.text for r in extract(renamed).collect()} == want
+
+
+def test_menus_and_footers_without_their_elements():
+    """Nothing marks a block: links, the copyright sign and stop words alone decide."""
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    plain = [re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", p.replace(' class="ad"', "")) for p in pages]
+    got = [main_text(p) for p in plain]
+    want = [Counter(article_of(p).split("\n")) for p in pages]
+    kept = sum((w & Counter(t.split("\n"))).total() for w, t in zip(want, got, strict=True)) / sum(w.total() for w in want)
+    assert kept > 0.9, kept  # short paragraphs beside a menu go with it
+    assert not any("\xa9" in t for t in got)
+
+
+def test_ties_between_neighbours():
+    """Of two neighbours equally far off the good one decides; a heading goes with what follows."""
+    links, good = "<div><a href=x>Home</a></div>", f"<p>{LONG}</p>"
+    text = " ".join(LONG.split())
+    assert main_text(f"{links}<p>Short.</p>{good}") == f"Short.\n{text}" and main_text(f"{good}<p>Short.</p>{links}") == f"{text}\nShort."
+    assert main_text(f"{good}<h2>Head</h2>{links}") == text and main_text(f"{links}<h2>Head</h2>{good}") == f"Head\n{text}"
+    assert main_text(f"{links}<p>Far.</p><p>Near.</p><p>Nearer.</p>{good}").startswith("Near.\nNearer.")
+    assert main_text("<p>Only short.</p>") == "Only short." and main_text(links) == ""
+
+
+def test_text_around_an_article_element():
+    enclosed = f"<article>{LONG}</article><p>{LONG} Between.</p><article>{LONG}</article>"
+    text = " ".join(LONG.split())
+    assert main_text(enclosed) == f"{text}\n{text} Between.\n{text}"
+    assert main_text(f"<p>{LONG} Before.</p><article><p>{LONG}</p></article><p>After.</p>") == text

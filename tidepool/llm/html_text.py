@@ -1,4 +1,11 @@
-"""Main text of web pages by two passes of block rules."""
+"""Main text of web pages by two passes of block rules.
+
+Stop-word density, length and link density classify each block by itself; short
+and ambiguous ones then take the label of their nearest decided neighbours.  Both
+passes run on every page.  What a page says about itself is one more feature: a
+menu, footer, form or advert is bad, and an article element moves the thresholds
+of the blocks in it and around it.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +22,8 @@ from .runtime import ship
 
 # Fixed values of the rules: lengths in characters, densities as shares.
 SHORT, LONG = 70, 200
-STOP_LOW, STOP_HIGH = 0.20, 0.30
-LINK_HIGH = 0.33
+STOP_LOW, STOP_HIGH = 0.08, 0.18
+LINK_LOW, LINK_HIGH, LINK_ALL = 0.10, 0.33, 0.90
 
 #: Frequent function words.
 STOP_WORDS = frozenset(
@@ -43,6 +50,7 @@ MARKS = frozenset(
 HEADER_MARKS = frozenset("header head".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_UNFINISHED = re.compile(r"</?[a-zA-Z][^>]*\Z")
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s"'/]|$)""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 _WORD = re.compile(r"\w+")
@@ -110,7 +118,7 @@ def blocks(html: str) -> list[Block]:
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
-            add(html[at:])
+            add(_UNFINISHED.sub("", html[at:]))
             break
         add(html[at : m.start()])
         at = m.end()
@@ -165,8 +173,7 @@ def blocks(html: str) -> list[Block]:
 
 
 def _reads_well(b: Block) -> bool:
-    words = _WORD.findall(b.text.lower())
-    return len(b.text) >= LONG and b.linked <= LINK_HIGH * len(b.text) and sum(w in STOP_WORDS for w in words) >= STOP_HIGH * max(1, len(words))
+    return len(b.text) >= LONG and b.linked <= LINK_HIGH * len(b.text) and _density(b.text) >= STOP_HIGH
 
 
 def unwrap(found: list[Block]) -> None:
@@ -194,47 +201,72 @@ def unwrap(found: list[Block]) -> None:
             b.marked = bool(b.marks)
 
 
+def _density(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def context_free(b: Block, inside: bool) -> str:
+    """First pass, a block by itself: good, bad, near (good) or short.
+
+    inside: it lies in the page's article element, where only short blocks that
+    are nearly all links are bad.
+    """
+    size = len(b.text)
+    links = b.linked / size
+    if inside and links > LINK_ALL and not b.heading and size < LONG:
+        return "bad"
+    if not inside and (links > LINK_HIGH or size < LONG and "\xa9" in b.text):
+        return "bad"
+    if size < SHORT or b.heading:
+        return "short"
+    density = _density(b.text)
+    if density >= STOP_HIGH and size >= LONG:
+        return "good"
+    return "near" if density >= STOP_LOW or links <= LINK_LOW or inside else "bad"
+
+
+def _inherited(b: Block, sides: list[tuple[int, str]], inside: bool, outside: bool) -> str:
+    """Second pass, an undecided block: sides are the distances and labels of its nearest decided neighbours, left first."""
+    labels = {label for _, label in sides}
+    if outside:  # the article element lies elsewhere: only what good blocks enclose belongs to it
+        return "good" if b.label == "near" and len(sides) == 2 and labels == {"good"} else "bad"
+    if inside:
+        return "bad" if labels == {"bad"} and b.linked else "good"
+    if len(labels) < 2:  # nothing on the page decides: what isn't marked is its text
+        return labels.pop() if labels else "good"
+    if b.label == "near":
+        return "good"
+    if b.heading:  # a heading goes with what follows
+        return sides[1][1]
+    return min(sides, key=lambda s: (s[0], s[1] != "good"))[1]
+
+
 def classify(found: list[Block]) -> None:
-    """Give every block its label: good or bad."""
+    """Give every block its label, good or bad, in two passes.
+
+    Marked blocks are bad and say nothing about their neighbours: an advert in
+    an article leaves the paragraphs beside it alone.
+    """
     unwrap(found)
     region = any(b.article and not b.marked for b in found)
+    free = []
     for b in found:
-        size = len(b.text)
-        links = b.linked / size
-        if b.marked or region and not b.article:
-            b.label = "bad"
-        elif region:
-            # inside the marked article only a block that is nearly all links isn't text
-            b.label = "bad" if links > 0.9 and not b.heading and size < LONG else "good"
-        elif links > LINK_HIGH or size < LONG and "\xa9" in b.text:
-            b.label = "bad"
-        elif size < SHORT or b.heading:
-            b.label = "short"
-        else:
-            words = _WORD.findall(b.text.lower())
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            b.label = ("good" if size >= LONG else "near") if density >= STOP_HIGH else "near" if density >= STOP_LOW else "bad" if size < LONG or density < STOP_LOW / 2 else "near"
-
-    decided = [i for i, b in enumerate(found) if b.label in ("good", "bad")]
-    labels = {i: found[i].label for i in decided}
+        b.label = "bad" if b.marked else context_free(b, region and b.article)
+        if not b.marked:
+            free.append(b)
+        if b.label == "good" and region and not b.article:
+            b.label = "near"
+    decided = [i for i, b in enumerate(free) if b.label in ("good", "bad")]
+    labels = {i: free[i].label for i in decided}
     k = 0
-    for i, b in enumerate(found):
-        if b.label in ("good", "bad"):
+    for i, b in enumerate(free):
+        if i in labels:
             continue
         while k < len(decided) and decided[k] < i:
             k += 1
-        left = decided[k - 1] if k else None
-        right = decided[k] if k < len(decided) else None
-        if left is None and right is None:
-            b.label = "good" if b.label == "near" else "bad"
-        elif left is None or right is None or labels[left] == labels[right]:
-            b.label = labels[right if left is None else left]
-        elif b.label == "near":
-            b.label = "good"
-        elif b.heading:  # a heading goes with what follows
-            b.label = labels[right]
-        else:
-            b.label = labels[left if i - left < right - i or i - left == right - i and labels[left] == "good" else right]
+        sides = [(abs(i - j), labels[j]) for j in decided[max(0, k - 1) : k + 1] if k or j > i]
+        b.label = _inherited(b, sides, region and b.article, region and not b.article)
 
 
 def main_text(html: str | None) -> str:
