@@ -24,11 +24,6 @@ def band_of(key: Column, bands: int) -> Column:
     return (fnv32a(key) % F.lit(bands)).cast("int")
 
 
-def storage_key(namespace: str, kind: str, part: Column) -> Column:
-    """The name under which a key's payload or a band's set is journalled: kind is payload, dirty or dlq."""
-    return F.concat(F.lit(f"sl:{namespace}:{kind}:"), part.cast("string"))
-
-
 def dlq_key(key: Column, at: Column) -> Column:
     """A key for re-insertion: the old one and the time in nanoseconds."""
     return F.concat(key, F.lit("_dlq_"), (F.unix_micros(at) * 1000).cast("string"))
@@ -53,11 +48,3 @@ def padded(prefix: str, width: int, n: Column) -> Column:
 def pick(options: list[str], n: Column) -> Column:
     """The option at position n modulo their number."""
     return F.element_at(F.array(*map(F.lit, options)), (F.pmod(n, F.lit(len(options))) + 1).cast("int"))
-
-
-def strategy_name(strategy: Column) -> Column:
-    names = {0: "ignore", 1: "upsert", 2: "reinsert"}
-    out = F.lit("unknown")
-    for code, name in names.items():
-        out = F.when(strategy == code, name).otherwise(out)
-    return out

@@ -12,12 +12,16 @@ class Metrics:
 
     def degraded_write(self, ok: bool) -> None: ...
 
-    def journal(self, operation: str, seconds: float) -> None: ...
+    def journal(self, operation: str, seconds: float) -> None:
+        """A state table was read or replaced."""
 
     def flush(self, rows: int, seconds: float, ok: bool) -> None: ...
 
     def pending(self, rows: int) -> None: ...
 
+    def depth(self, bands: dict[int, int]) -> None:
+        """Pending keys of each band, before a flush; counted only if this is overridden."""
+
     def contract_error(self, rows: int) -> None: ...
 
     def dead_letter(self, rows: int, reason: str) -> None: ...
@@ -40,9 +44,15 @@ class CountingMetrics(Metrics):
     def flush(self, rows: int, seconds: float, ok: bool) -> None:
         self.total.update(flushed=rows if ok else 0, failed_flushes=not ok)
 
+    def journal(self, operation: str, seconds: float) -> None:
+        self.total.update({f"journal_{operation}": 1})
+
     def pending(self, rows: int) -> None:
         self.total["pending"] = rows
 
+    def depth(self, bands: dict[int, int]) -> None:
+        self.total["deepest_band"] = max(bands.values(), default=0)
+
     def contract_error(self, rows: int) -> None:
         self.total.update(contract_errors=rows)
 

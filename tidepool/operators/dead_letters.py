@@ -13,6 +13,13 @@ from tidepool.model import UnknownStrategy
 STRATEGIES = ("ignore", "upsert", "reinsert")
 
 
+def strategy_name(strategy: int | str) -> str:
+    """A strategy by its name or its place among STRATEGIES; unknown for any other."""
+    if isinstance(strategy, str):
+        return strategy if strategy in STRATEGIES else "unknown"
+    return STRATEGIES[strategy] if 0 <= strategy < len(STRATEGIES) else "unknown"
+
+
 @dataclass
 class DlqOutcome:
     """left: what stays; written: documents to upsert; again: events to journal under a new key; counts: one row."""

@@ -22,17 +22,20 @@ from tidepool.functions import dlq_key
 from tidepool.metrics import Metrics
 from tidepool.model import CONTRACT_VIOLATION, DUPLICATE_CODE, DUPLICATE_KEY, EVENT, Closed, EmptyKey, EmptyNamespace, MissingContract, MissingSink, MissingSource, Settings, SinkUnavailable, UnknownStrategy
 from tidepool.operators import dead_letters
-from tidepool.operators.journal import coalesce_latest, ingest, refused, unexpired
+from tidepool.operators.journal import coalesce_latest, depth, ingest, ready_bands, refused, unexpired, with_band
 from tidepool.sinks import BulkResult, Sink
 
 OnFlush = Callable[[DataFrame, BulkResult | None, Exception | None], None]
 
 
 class StateTable:
-    """A small table in the state folder, replaced as a whole; the newest complete version counts."""
+    """A small table in the state folder, replaced as a whole; the newest complete version counts.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    The version before it is kept for whoever still reads it, older ones are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, metrics: Metrics | None = None):
+        self.spark, self.path, self.metrics = spark, path, metrics or Metrics()
 
     def _versions(self) -> list[str]:
         jvm = self.spark._jvm
@@ -44,13 +47,22 @@ class StateTable:
         return [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
 
     def read(self) -> DataFrame | None:
-        have = self._versions()
-        return self.spark.read.parquet(f"{self.path}/{have[-1]}") if have else None
+        began, have = time.monotonic(), self._versions()
+        out = self.spark.read.parquet(f"{self.path}/{have[-1]}") if have else None
+        self.metrics.journal("read", time.monotonic() - began)
+        return out
 
     def replace(self, rows: DataFrame) -> None:
-        have = self._versions()
+        began, have = time.monotonic(), self._versions()
         n = int(have[-1][1:13]) + 1 if have else 1
         rows.write.parquet(f"{self.path}/v{n:012d}-{uuid.uuid4().hex[:8]}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in fs.listStatus(path(self.path)):
+            name = s.getPath().getName()
+            if name.startswith("v") and int(name[1:13]) < n - 1:
+                fs.delete(s.getPath(), True)
+        self.metrics.journal("replace", time.monotonic() - began)
 
 
 class Engine:
@@ -65,7 +77,7 @@ class Engine:
         self.settings = Settings()
         self.metrics: Metrics = Metrics()
         self.on_flush: OnFlush | None = None
-        self.auto: tuple[float, str] | None = None
+        self.auto: tuple[float | None, str] | None = None
         self.mutator: Callable[[Column], Column] = lambda key: dlq_key(key, F.current_timestamp())
         self.log = logging.getLogger(f"tidepool.{namespace}")
         self.closed = False
@@ -73,6 +85,7 @@ class Engine:
         self._timer: threading.Event | None = None
         self._thread: threading.Thread | None = None
         self._lock = threading.RLock()
+        self._flushed = time.monotonic()
 
     @classmethod
     def named(cls, namespace: str) -> Engine:
@@ -95,6 +108,14 @@ class Engine:
         self.settings = Settings(**{**self.settings.__dict__, **values})
         return self
 
+    def with_batched_writes(self, size: int = 0, window_ms: int = 0) -> Engine:
+        """Journal every window_ms; flush a band at ``size`` pending keys, and all when the flush window is over."""
+        return self.with_settings(batched_writes=True, write_batch=size, write_window_ms=window_ms)
+
+    def with_logger(self, log: logging.Logger) -> Engine:
+        self.log = log
+        return self
+
     def with_metrics(self, metrics: Metrics) -> Engine:
         self.metrics = metrics
         return self
@@ -107,10 +128,11 @@ class Engine:
         self.mutator = mutator
         return self
 
-    def with_auto_dlq(self, strategy: str, every_s: float | None = None) -> Engine:
-        if strategy not in dead_letters.STRATEGIES:
+    def with_auto_dlq(self, strategy: int | str, every_s: float | None = None) -> Engine:
+        name = dead_letters.strategy_name(strategy)
+        if name == "unknown":
             raise UnknownStrategy(strategy)
-        self.auto = (every_s if every_s and every_s > 0 else self.settings.dlq_interval_s, strategy)
+        self.auto = (every_s if every_s and every_s > 0 else None, name)
         return self
 
     def build(self) -> Engine:
@@ -119,8 +141,10 @@ class Engine:
                 raise error()
         self.sink.ping()
         spark = self.source.sparkSession
-        self.pending = StateTable(spark, f"{self.state}/pending")
-        self.letters = StateTable(spark, f"{self.state}/letters")
+        self.sink.configure(self.settings)
+        self.pending = StateTable(spark, f"{self.state}/pending", self.metrics)
+        self.letters = StateTable(spark, f"{self.state}/letters", self.metrics)
+        self.plans = StateTable(spark, f"{self.state}/plans", self.metrics)
         return self
 
     # -- flushing ------------------------------------------------------------
@@ -136,18 +160,45 @@ class Engine:
             latest = coalesce_latest(ingest(events))
             payload = F.col("payload").isNotNull() & (F.octet_length("payload") > 0)
             latest = unexpired(latest, s.key_ttl_ms, F.current_timestamp()) if s.expire else latest.filter(payload)
-            shaped = self.contract.apply(latest).persist()
+            due, rest = self._due(latest, batch_id)
+            shaped = self.contract.apply(due).persist()
             try:
                 self.metrics.write(*batch.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("key").isNull() | (F.col("key") == ""), 1)), F.lit(0))).collect()[0])
-                self._flush(shaped, batch_id, began)
+                self._flush(shaped, rest, batch_id, began)
             finally:
                 shaped.unpersist()
 
+    def _due(self, latest: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame | None]:
+        """What is flushed now and what stays pending: bands are due by depth, and all of them by time.
+
+        The choice is written down before it is acted upon, so a batch that is
+        replayed flushes the same bands.
+        """
+        s = self.settings
+        banded = with_band(latest, s.bands)
+        if type(self.metrics).depth is not Metrics.depth:
+            self.metrics.depth({r.band: r.depth for r in depth(banded).collect()})  # a row per band
+        if s.volume is None or batch_id < 0:
+            return latest, None
+        held = self.plans.read()
+        plan = held.filter(F.col("batch") == batch_id).collect() if held is not None else []  # one row
+        if plan:
+            bands = plan[0].bands
+        else:
+            over = time.monotonic() - self._flushed >= s.flush_window_ms / 1000
+            bands = None if over else [r.band for r in ready_bands(banded, s.volume).collect()]  # at most s.bands
+            self.plans.replace(latest.sparkSession.createDataFrame([(batch_id, bands)], "batch long, bands array<int>"))
+        if bands is None:
+            self._flushed = time.monotonic()
+            return latest, None
+        ready = F.col("band").isin(bands) if bands else F.lit(False)
+        return banded.filter(ready).drop("band"), banded.filter(~ready).select(*EVENT.names)
+
     def documents(self, shaped: DataFrame) -> DataFrame:
         fields = self.contract.fields if hasattr(self.contract, "fields") else self.contract.schema.names
         return shaped.select(F.col("key").alias("_id"), *fields)
 
-    def _flush(self, shaped: DataFrame, batch_id: int, began: float) -> None:
+    def _flush(self, shaped: DataFrame, rest: DataFrame | None, batch_id: int, began: float) -> None:
         good, bad = shaped.filter("ok"), shaped.filter(~F.col("ok"))
         dead = bad.select(*EVENT.names, F.lit(CONTRACT_VIOLATION).alias("reason"))
         n_bad = bad.count()
@@ -169,20 +220,27 @@ class Engine:
             dead = dead.unionByName(doubled.select(*EVENT.names, F.lit(DUPLICATE_KEY).alias("reason")))
             later = good.join(wrong.filter(F.col("code") != DUPLICATE_CODE), "key", "left_semi").select(*EVENT.names)
         self._bury(dead)
+        if rest is not None:
+            later = later.unionByName(rest)
         self.pending.replace(later)
-        self.metrics.pending(later.count())
+        self.metrics.pending(self.pending.read().count())
         self.metrics.flush(rows, time.monotonic() - began, error is None)
         if rows:
             self._tell(good.select("key"), result, error)
 
     def _bury(self, dead: DataFrame) -> None:
-        """Add dead letters; a key that dies again keeps its latest letter."""
+        """Add dead letters; a key that dies again keeps its latest letter, and old ones go."""
         fresh = dead.withColumn("failed_at", F.current_timestamp())
-        old = self.letters.read()
+        old = self._letters()
         if not fresh.isEmpty():
             every = fresh if old is None else old.unionByName(fresh)
             self.letters.replace(coalesce_latest(every))
 
+    def _letters(self) -> DataFrame | None:
+        """The dead letters whose time isn't over."""
+        held = self.letters.read()
+        return None if held is None else unexpired(held, self.settings.dead_letter_ttl_ms, F.current_timestamp(), ts="failed_at", payload=None)
+
     def _tell(self, keys: DataFrame, result: BulkResult | None, error: Exception | None) -> None:
         if self.on_flush is not None:
             self.on_flush(keys, result, error)
@@ -193,7 +251,7 @@ class Engine:
         if self.closed:
             raise Closed()
         writer = self.source.writeStream.foreachBatch(self.flush).option("checkpointLocation", f"{self.state}/checkpoint")
-        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{self.settings.flush_window_ms} milliseconds")
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{self.settings.trigger_ms} milliseconds")
         self.query = writer.start()
         if self.auto is not None:
             self._timer = threading.Event()
@@ -203,7 +261,7 @@ class Engine:
 
     def _tick(self) -> None:
         every, strategy = self.auto
-        while not self._timer.wait(every):
+        while not self._timer.wait(every or self.settings.dlq_interval_s):
             try:
                 self.process_dlq(strategy)
             except Exception:  # noqa: BLE001  the next tick tries again
@@ -233,14 +291,16 @@ class Engine:
         self.metrics.degraded_write(True)
         return out
 
-    def process_dlq(self, strategy: str, contract: Any = None, mutator: Callable[[Column], Column] | None = None) -> dict[str, int]:
-        """Every dead letter once; returns processed, succeeded and failed."""
+    def process_dlq(self, strategy: int | str, contract: Any = None, mutator: Callable[[Column], Column] | None = None, batch: int | None = None, log: logging.Logger | None = None) -> dict[str, int]:
+        """Every dead letter once; returns processed, succeeded and failed.  batch: rows of a bulk call, dlq_batch by default."""
         if self.closed:
             raise Closed()
-        if strategy not in dead_letters.STRATEGIES:
+        name = dead_letters.strategy_name(strategy)
+        if name == "unknown":
             raise UnknownStrategy(strategy)
+        strategy = name
         with self._lock:
-            letters = self.letters.read()
+            letters = self._letters()
             if letters is None or letters.isEmpty():
                 return {"processed": 0, "succeeded": 0, "failed": 0}
             contract = contract or self.contract
@@ -248,7 +308,7 @@ class Engine:
             counts, left = done.counts.collect()[0].asDict(), done.left.select(*letters.columns)
             if done.written is not None:
                 fields = contract.fields if hasattr(contract, "fields") else contract.schema.names
-                result = self.sink.write(done.written.select(F.col("key").alias("_id"), *fields))
+                result = self.sink.write(done.written.select(F.col("key").alias("_id"), *fields), batch or self.settings.dlq_batch)
                 if result.errors is not None:
                     failed = letters.join(result.errors.select("key").distinct(), "key", "left_semi").select(*letters.columns)
                     n = failed.count()
@@ -261,6 +321,7 @@ class Engine:
                 self.pending.replace(coalesce_latest(again if held is None else held.select(*EVENT.names).unionByName(again)))
             self.letters.replace(left)
             self.metrics.dlq(strategy, **counts)
+            (log or self.log).info("dead letters: %s %s", strategy, counts)
             return counts
 
     def drain(self) -> None:
