@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,6 +314,24 @@ def test_trigram_scores_equal_brute_force(spark, which):
         perplexity(which(spark), order=4)
 
 
+def test_ranges_follow_the_tokens_and_few_files_stay_open(spark, tmp_path):
+    from tidepool.llm import language_model as lm
+
+    rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
+    want = sorted(round(x, 8) for x in brute_trigrams(rows)[0])
+    assert sorted(round(r.score, 8) for r in perplexity(odd(spark), order=3, range_tokens=300).collect()) == want
+    model = lm.train(odd(spark), range_tokens=300)
+    assert model.ranges > 20 and list(model.bounds) == sorted(set(model.bounds))
+    assert lm._cuts(np.array([5, 1, 900, 1, 2, 300, 4]), 300) == [2, 3, 5, 6]
+    for i in range(2 * lm.MOST_MAPS):
+        (tmp_path / f"f{i}").write_bytes(bytes(8))
+    maps = lm.Maps(str(tmp_path))
+    for i in range(2 * lm.MOST_MAPS):
+        assert maps.get(f"f{i}", "<u8").tolist() == [0]
+    mapped = open("/proc/self/maps").read().count(str(tmp_path))
+    assert len(maps.open) == lm.MOST_MAPS >= mapped
+
+
 def test_query_scores_by_trigrams(spark):
     from tidepool.llm.queries import op9_kneser_ney
 

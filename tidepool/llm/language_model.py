@@ -21,6 +21,7 @@ compressed differences.  Nothing is pruned.
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -44,6 +45,8 @@ RUN = 1 << 22
 #: The numbers that stand for the text's begin and end among word hashes.
 BEGIN, END = np.uint64(0x0B0E61D4C3A59687), np.uint64(0xE0D5A1B2C7F83946)
 _BIG = 255
+#: Files that a worker holds open.
+MOST_MAPS = 256
 
 _RUN = "part int, keys binary, counts binary"
 
@@ -55,7 +58,7 @@ class Model:
     folder: str
     shard_bits: int
     offsets: tuple[int, ...]  # first number of each word shard, and one past the last
-    ranges: int
+    bounds: tuple[int, ...]  # first word of each range of bigrams
     tokens: int
     words: int
     discounts: tuple[float, float, float]  # of bigrams seen once, twice, more often
@@ -67,6 +70,10 @@ class Model:
     top_ranges: int = 0
     top_discounts: tuple[float, float, float] = (0.0,) * 3  # of trigrams
 
+    @property
+    def ranges(self) -> int:
+        return len(self.bounds)
+
 
 def _run(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([pack_counts(counts)], pa.binary())], names=["part", "keys", "counts"])
@@ -183,50 +190,59 @@ def _opened(model: Model) -> Arrays:
     return Arrays(model)
 
 
+class Maps:
+    """A model's files, mapped when they are asked for; of those the last MOST_MAPS stay open."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.open: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def get(self, name: str, kind: str) -> np.ndarray:
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
+            self.open[name] = load(self.folder, name, kind)
+            if len(self.open) > MOST_MAPS:
+                self.open.popitem(last=False)  # its file is closed once no one uses the array
+        return self.open[name]
+
+
 class Arrays:
-    """A model's files, mapped."""
+    """A model's arrays, by shard and range."""
 
     def __init__(self, m: Model):
         self.m = m
-        self.word = [load(m.folder, f"word-{s}.keys", "<u8") if a < b else np.zeros(0, "<u8") for s, (a, b) in enumerate(zip(m.offsets, m.offsets[1:], strict=False))]
-        self.count = [load(m.folder, f"word-{s}.counts", "<u8") if a < b else np.zeros(0, "<u8") for s, (a, b) in enumerate(zip(m.offsets, m.offsets[1:], strict=False))]
-        self.bounds = first_words(m.offsets[-1], m.ranges)
-        self.pairs: dict[int, tuple] = {}
-        self.pair_keys: dict[int, np.ndarray] = {}
+        self.maps = Maps(m.folder)
+        self.bounds = np.array(m.bounds, dtype=np.int64)
         self.top_bounds = first_words(m.pair_offsets[-1], m.top_ranges)
-        self.tops: dict[int, tuple] = {}
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of sorted distinct hashes."""
         number, count = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
         cut = np.append(np.searchsorted(hashes, shard_bounds(self.m.shard_bits)), len(hashes))
-        for s in range(1 << self.m.shard_bits):
-            own, keys = hashes[cut[s] : cut[s + 1]], self.word[s]
-            if not len(own) or not len(keys):
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            if self.m.offsets[s] == self.m.offsets[s + 1]:
                 continue
+            own, keys = hashes[cut[s] : cut[s + 1]], self.maps.get(f"word-{s}.keys", "<u8")
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             hit = np.flatnonzero(keys[at] == own)
             number[cut[s] + hit] = self.m.offsets[s] + at[hit]
-            count[cut[s] + hit] = self.count[s][at[hit]]
+            count[cut[s] + hit] = self.maps.get(f"word-{s}.counts", "<u8")[at[hit]]
         return number, count
 
     def range_of(self, r: int) -> tuple:
-        if r not in self.pairs:
-            own = "pair" if self.m.order == 2 else "near"
-            names = (("pair-{}.keys", "<u8"), (own + "-{}.counts", "u1"), (own + "-{}.big", "<u8"), ("first-{}.stats", "<u4"), ("second-{}.after", "<u4"))
-            self.pairs[r] = tuple(load(self.m.folder, n.format(r), k) for n, k in names)
-        return self.pairs[r]
+        own = "pair" if self.m.order == 2 else "near"
+        names = (("pair-{}.keys", "<u8"), (own + "-{}.counts", "u1"), (own + "-{}.big", "<u8"), ("first-{}.stats", "<u4"), ("second-{}.after", "<u4"))
+        return tuple(self.maps.get(n.format(r), k) for n, k in names)
 
     def keys_of(self, r: int) -> np.ndarray:
-        if r not in self.pair_keys:
-            self.pair_keys[r] = load(self.m.folder, f"pair-{r}.keys", "<u8")
-        return self.pair_keys[r]
+        return self.maps.get(f"pair-{r}.keys", "<u8")
 
     def pair_numbers(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of sorted keys of bigrams that the model has."""
         number = np.empty(len(keys), dtype=np.int64)
         cut = np.append(np.searchsorted(keys, self.bounds.astype(np.uint64) << np.uint64(32)), len(keys))
-        for r in range(self.m.ranges):
+        for r in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[r], cut[r + 1]
             if a < b:
                 number[a:b] = self.m.pair_offsets[r] + np.searchsorted(self.keys_of(r), keys[a:b])
@@ -239,19 +255,16 @@ class Arrays:
         return np.concatenate([np.zeros(0, dtype=np.uint64), *parts]) & np.uint64(0xFFFFFFFF)
 
     def top_of(self, r: int) -> tuple:
-        if r not in self.tops:
-            names = (("top-{}.keys", "<u8"), ("top-{}.counts", "u1"), ("top-{}.big", "<u8"), ("context-{}.stats", "u1"), ("context-{}.big", "<u8"))
-            self.tops[r] = tuple(load(self.m.folder, n.format(r), k) for n, k in names)
-        return self.tops[r]
+        names = (("top-{}.keys", "<u8"), ("top-{}.counts", "u1"), ("top-{}.big", "<u8"), ("context-{}.stats", "u1"), ("context-{}.big", "<u8"))
+        return tuple(self.maps.get(n.format(r), k) for n, k in names)
 
     def low(self, numbers: np.ndarray) -> np.ndarray:
         """Probability of sorted words whatever comes before, -1 being unknown."""
         after = np.zeros(len(numbers))
         cut = np.append(np.searchsorted(numbers, self.bounds), len(numbers))
-        for r in range(self.m.ranges):
+        for r in np.flatnonzero(np.diff(cut)).tolist():
             own = numbers[cut[r] : cut[r + 1]]
-            if len(own):
-                after[cut[r] : cut[r + 1]] = self.range_of(r)[4][own - int(self.bounds[r])]
+            after[cut[r] : cut[r + 1]] = self.maps.get(f"second-{r}.after", "<u4")[own - int(self.bounds[r])]
         d = np.choose(np.minimum(after, 3).astype(np.int64), (0.0, *self.m.low_discounts))
         return np.maximum(after - d, 0) / max(1, self.m.low_total) + self.m.low_weight / (self.m.words + 1)
 
@@ -259,10 +272,8 @@ class Arrays:
         """Of pairs sorted by first and second, -1 being unknown, and their numbers; low: the second word's own probability."""
         out, number = low.copy(), np.full(len(first), -1, dtype=np.int64)
         cut = np.append(np.searchsorted(first, self.bounds), len(first))
-        for r in range(self.m.ranges):
+        for r in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[r], cut[r + 1]
-            if a == b:
-                continue
             keys, counts, big, stats, _ = self.range_of(r)
             f = first[a:b]
             own = stats.reshape(-1, 5)[f - int(self.bounds[r])].astype(np.float64)
@@ -279,10 +290,8 @@ class Arrays:
         """Of trigrams sorted by the number of their first two words; low: the third word's probability after the second."""
         out = low.copy()
         cut = np.append(np.searchsorted(pair, self.top_bounds), len(pair))
-        for r in range(self.m.top_ranges):
+        for r in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[r], cut[r + 1]
-            if a == b:
-                continue
             keys, counts, big, stats, big_stats = self.top_of(r)
             context = pair[a:b] - int(self.top_bounds[r])
             own = stats.reshape(-1, 4)[context].astype(np.float64)
@@ -303,6 +312,15 @@ def first_words(words: int, ranges: int) -> np.ndarray:
     return np.array([words * r // ranges for r in range(ranges)], dtype=np.int64)
 
 
+def _cuts(counts: np.ndarray, tokens: int) -> list[int]:
+    """Where in a shard of words new ranges begin: about so many tokens each, and a word with as many has its own."""
+    before = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+    step = before // tokens
+    often = np.flatnonzero(counts >= tokens)
+    at = np.concatenate([np.flatnonzero(step[1:] > step[:-1]) + 1, often])
+    return [int(x) for x in np.unique(at) if 0 < x < len(counts)]
+
+
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts from how many n-grams were seen once, twice, three and four times."""
     n1, n2, n3, n4 = n
@@ -316,7 +334,7 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def train(docs: DataFrame, order: int = 2) -> Model | None:
+def train(docs: DataFrame, order: int = 2, range_tokens: int = RANGE_TOKENS) -> Model | None:
     """Count a model of docs (text); None if there are no rows."""
     if order not in (2, 3):
         raise ValueError(f"order {order}: a model is of order 2 or 3")
@@ -324,16 +342,20 @@ def train(docs: DataFrame, order: int = 2) -> Model | None:
     ship(spark)
     folder = f"{shared_dir(spark)}/tidepool/model-{uuid.uuid4().hex}"
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    bits = min(16, max(1, (docs.count() // SHARD_TEXTS).bit_length()))
+    bits = min(16, max(1, (docs.count() // SHARD_TEXTS).bit_length()))  # words are numbered in 32 bits, so 2**16 shards never hold more than 2**16 words each
+
+    def every(parts: int, schema: str) -> DataFrame:
+        """A row without a run for each part, so that the files of all are made."""
+        return spark.range(parts).select(*(F.col("id").cast("int").alias(c) if c == "part" else F.lit(None).cast(k).alias(c) for c, k in (x.strip().split(" ") for x in schema.split(","))))
 
     def save_words(group: pa.Table) -> pa.Table:
         keys, counts = _merged(group)
         s = group.column("part")[0].as_py()
         save(folder, f"word-{s}.keys", keys.astype("<u8"))
         save(folder, f"word-{s}.counts", counts.astype("<u8"))
-        return pa.table({"part": pa.array([s], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64()), "known": pa.array([int((counts > 0).sum())], pa.int64())})
+        return pa.table({"part": pa.array([s], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64()), "known": pa.array([int((counts > 0).sum())], pa.int64()), "cuts": pa.array([_cuts(counts, range_tokens)], pa.list_(pa.int64()))})
 
-    found = {r.part: r for r in texts.mapInArrow(lambda batches: _word_runs(batches, bits), _RUN).groupBy("part").applyInArrow(save_words, "part int, n long, tokens long, known long").collect()}  # a row per shard
+    found = {r.part: r for r in texts.mapInArrow(lambda batches: _word_runs(batches, bits), _RUN).groupBy("part").applyInArrow(save_words, "part int, n long, tokens long, known long, cuts array<long>").collect()}  # a row per shard
     if not found:
         return None
     offsets = [0]
@@ -342,9 +364,16 @@ def train(docs: DataFrame, order: int = 2) -> Model | None:
     if offsets[-1] >= 1 << 32:
         raise ValueError("more than 2**32 distinct words: bigram keys need wider numbers")
     n_tokens, known = sum(r.tokens for r in found.values()), sum(r.known for r in found.values())
-    ranges = min(max(4, -(-n_tokens // RANGE_TOKENS)), offsets[-1])
-    model = Model(folder, bits, tuple(offsets), ranges, n_tokens, known, (0.0,) * 3, (0.0,) * 3, 0, 1.0)
-    bounds = first_words(offsets[-1], ranges)
+    starts, held = {0, *first_words(offsets[-1], 4).tolist()}, 0
+    for s in sorted(found):
+        starts |= {offsets[s] + c for c in found[s].cuts}
+        held = 0 if found[s].cuts else held + found[s].tokens
+        if held >= range_tokens:
+            starts.add(offsets[s + 1])
+            held = 0
+    bounds = np.array(sorted(b for b in starts if b < offsets[-1]), dtype=np.int64)
+    ranges = len(bounds)
+    model = Model(folder, bits, tuple(offsets), tuple(bounds.tolist()), n_tokens, known, (0.0,) * 3, (0.0,) * 3, 0, 1.0)
 
     def pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = _opened(model)
@@ -376,7 +405,7 @@ def train(docs: DataFrame, order: int = 2) -> Model | None:
         rows.append((-1, None, None, n))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["part", "keys", "counts", "n"])
 
-    paired = written(spark, texts.mapInArrow(pair_runs, _RUN).groupBy("part").applyInArrow(save_pairs, _RUN + ", n array<long>"), "model-after")
+    paired = written(spark, texts.mapInArrow(pair_runs, _RUN).union(every(ranges, _RUN)).groupBy("part").applyInArrow(save_pairs, _RUN + ", n array<long>"), "model-after")
     each = [r.n for r in paired.filter("part < 0").select("n").collect()]  # a row per range
     total = [sum(x) for x in zip(*each, strict=True)][1:]
 
@@ -389,20 +418,12 @@ def train(docs: DataFrame, order: int = 2) -> Model | None:
         save(folder, f"second-{r}.after", dense)
         return pa.table({"part": pa.array([r], pa.int32()), "n": pa.array([[*_of_counts(dense), int((dense >= 3).sum())]], pa.list_(pa.int64()))})
 
-    low = {r.part: r.n for r in paired.filter("part >= 0").select("part", "keys", "counts").groupBy("part").applyInArrow(save_after, "part int, n array<long>").collect()}  # a row per range
+    low = {r.part: r.n for r in paired.filter("part >= 0").select("part", "keys", "counts").union(every(ranges, _RUN)).groupBy("part").applyInArrow(save_after, "part int, n array<long>").collect()}  # a row per range
     dropped(spark, paired)
-    for r in range(ranges):  # ranges in which no bigram begins, or ends
-        size = (int(bounds[r + 1]) if r + 1 < ranges else offsets[-1]) - int(bounds[r])
-        if r not in low:
-            save(folder, f"second-{r}.after", np.zeros(size, dtype="<u4"))
-        if r not in {x[0] for x in each}:
-            for name, k in (("pair-{}.keys", "<u8"), ("pair-{}.counts", "u1"), ("pair-{}.big", "<u8")):
-                save(folder, name.format(r), np.zeros(0, dtype=k))
-            save(folder, f"first-{r}.stats", np.zeros(5 * size, dtype="<u4"))
     kinds = [sum(x) for x in zip(*low.values(), strict=True)]
     d = discounts(kinds[:4])
     weight = (d[0] * kinds[0] + d[1] * kinds[1] + d[2] * kinds[4]) / max(1, total[0])
-    model = Model(folder, bits, tuple(offsets), ranges, n_tokens, known, discounts(total[1:]), d, total[0], weight)
+    model = replace(model, discounts=discounts(total[1:]), low_discounts=d, low_total=total[0], low_weight=weight)
     if order == 2:
         return model
 
@@ -413,7 +434,7 @@ def train(docs: DataFrame, order: int = 2) -> Model | None:
     pair_offsets = [0]
     for r in range(ranges):
         pair_offsets.append(pair_offsets[-1] + size.get(r, 0))
-    tops = min(max(4, -(-n_tokens // RANGE_TOKENS)), total[0])
+    tops = min(max(4, -(-n_tokens // range_tokens)), total[0])
     model = replace(model, order=3, pair_offsets=tuple(pair_offsets), top_ranges=tops)
     top_bounds = first_words(total[0], tops)
 
@@ -467,10 +488,6 @@ def train(docs: DataFrame, order: int = 2) -> Model | None:
             n = _of_counts(near)
         return pa.table({"part": pa.array([r], pa.int32()), "n": pa.array([n], pa.list_(pa.int64()))})
 
-    def every(parts: int, schema: str) -> DataFrame:
-        """A row without a run for each part, so that the files of all are made."""
-        return spark.range(parts).select(*(F.col("id").cast("int").alias(c) if c == "part" else F.lit(None).cast(k).alias(c) for c, k in (x.strip().split(" ") for x in schema.split(","))))
-
     counted = texts.mapInArrow(top_runs, _RUN).union(every(tops, _RUN)).groupBy("part").applyInArrow(save_tops, _RUN + ", n array<long>")
     kinds = {r.part: r.n for r in counted.union(every(ranges, _RUN + ", n array<long>")).groupBy("part").applyInArrow(save_near, "part int, n array<long>").collect()}  # a row per range
     near = [sum(x) for x in zip(*(n for part, n in kinds.items() if part >= 0), strict=True)]
@@ -525,7 +542,7 @@ def score(t: Texts, model: Model | None) -> tuple[np.ndarray, ...]:
     return n, own, np.bincount(row, weights=base, minlength=t.n), np.bincount(row, weights=logs, minlength=t.n)
 
 
-def perplexity(docs: DataFrame, order: int = 2) -> DataFrame:
+def perplexity(docs: DataFrame, order: int = 2, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row.
 
     The model, of order 2 or 3, is counted over the rows of the same table that aren't held out.
@@ -533,7 +550,7 @@ def perplexity(docs: DataFrame, order: int = 2) -> DataFrame:
     Repeated rows count and score like any other; where nothing could be learnt
     scores are 0.  An empty table gives no row; other columns are ignored.
     """
-    model = train(docs.filter(learns(F.col("doc_id"))), order)
+    model = train(docs.filter(learns(F.col("doc_id"))), order, range_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
