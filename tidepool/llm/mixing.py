@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import written
+
 #: Bisection steps; each halves the interval of the exponent.
 STEPS = 48
 #: Tokens of a block, on average.
 BLOCK_TOKENS = 1 << 18
+#: Blocks of a pass are summed in so many groups (a power of two) first.
+GROUP_BITS = 12
+#: So many sources are broadcast, more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 #: What a word is made of.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,59 +23,68 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _weights(shares: Column, exponent: Column) -> Column:
-    """Shares raised to a power, as an array that sums to 1; no share stays 0."""
-    raised = F.transform(shares, lambda q: F.when(q > 0, F.pow(q, exponent)).otherwise(0.0))
-    return F.transform(raised, lambda x: x / F.greatest(F.aggregate(raised, F.lit(0.0), lambda a, y: a + y), F.lit(1e-300)))
+def _raised(e: Column, exponent: Column) -> Column:
+    """Sum of all shares raised to a power; e: distinct shares q that m sources have each."""
+    return F.aggregate(e, F.lit(0.0), lambda a, x: a + x["m"] * F.pow(x["q"], exponent))
 
 
-def _entropy(weights: Column) -> Column:
-    return F.aggregate(weights, F.lit(0.0), lambda a, w: a - F.when(w > 0, w * F.log2(w)).otherwise(0.0))
+def _entropy(e: Column, exponent: Column) -> Column:
+    whole = _raised(e, exponent)
+    w = lambda x: F.pow(x["q"], exponent) / whole
+    return F.aggregate(e, F.lit(0.0), lambda a, x: a - x["m"] * w(x) * F.log2(w(x)))
 
 
-def _repetition(shares: Column, weights: Column) -> Column:
+def _repetition(e: Column, exponent: Column) -> Column:
     """Passes over the most repeated source when the least repeated has one."""
-    passes = F.filter(F.transform(F.arrays_zip(shares.alias("q"), weights.alias("w")), lambda x: F.when(x["q"] > 0, x["w"] / x["q"])), lambda x: x.isNotNull())
+    passes = F.transform(e, lambda x: F.pow(x["q"], exponent) / x["q"])
     return F.coalesce(F.array_max(passes) / F.array_min(passes), F.lit(1.0))
 
 
-def solve(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None) -> DataFrame:
-    """Source, tokens, share, exponent, weight, passes.
+def exponent_of(sources: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None) -> DataFrame:
+    """One row: exponent, whole (the sum of the raised shares), total (all tokens).
 
-    docs: source, n_tokens.  The exponent lies in [0, 1]: 1 keeps the shares, 0
+    sources: source, tokens.  The exponent lies in [0, 1]: 1 keeps the shares, 0
     levels them.  With target_entropy the largest exponent that reaches it is
     sought, with max_repetition the smallest that keeps within it; a target out
-    of reach ends at the bound.  All in one row of arrays, a number per source.
+    of reach ends at the bound.  Sources of equal size are one entry of the array
+    that is bisected over: n tokens make at most sqrt(2 n) entries, however many
+    the sources.
     """
     if (target_entropy is None) == (max_repetition is None):
         raise ValueError("give either target_entropy or max_repetition")
-    per = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    one = per.agg(F.array_sort(F.collect_list(F.struct(F.col("source"), F.col("tokens")))).alias("each"))
-    total = F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    shares = F.transform("each", lambda x: F.when(F.col("total") > 0, x["tokens"] / F.col("total")).otherwise(0.0))
-    one = one.withColumn("total", total).withColumn("shares", shares)
+    some = sources.filter("tokens > 0")
+    each = some.groupBy("tokens").agg(F.count(F.lit(1)).alias("m"))
+    one = each.agg(F.array_sort(F.collect_list(F.struct("tokens", "m"))).alias("each")).withColumn("total", F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + x["tokens"] * x["m"]))
+    one = one.withColumn("e", F.transform("each", lambda x: F.struct((x["tokens"] / F.col("total")).alias("q"), x["m"].alias("m"))))
+    e = F.col("e")
 
     def halve(acc: Column, _: Column) -> Column:
         mid = (acc["low"] + acc["high"]) / 2
-        w = _weights(F.col("shares"), mid)
         # low always has enough of what is asked for (entropy), high does (repetition)
-        flat = _entropy(w) >= target_entropy if target_entropy is not None else _repetition(F.col("shares"), w) > max_repetition
+        flat = _entropy(e, mid) >= target_entropy if target_entropy is not None else _repetition(e, mid) > max_repetition
         return F.struct(F.when(flat, mid).otherwise(acc["low"]).alias("low"), F.when(flat, acc["high"]).otherwise(mid).alias("high"))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), halve)
     if max_repetition is not None:
-        level = _repetition(F.col("shares"), _weights(F.col("shares"), F.lit(0.0))) <= max_repetition
-        exponent = F.when(level, 0.0).otherwise(found["high"])
+        exponent = F.when(_repetition(e, F.lit(0.0)) <= max_repetition, 0.0).otherwise(found["high"])
     else:
-        exponent = F.when(_entropy(F.col("shares")) >= target_entropy, 1.0).otherwise(found["low"])
-    one = one.withColumn("exponent", exponent)
-    one = one.withColumn("weights", _weights(F.col("shares"), F.col("exponent")))
-    rows = one.select("exponent", "total", F.explode(F.arrays_zip("each", "shares", "weights")).alias("s"))
-    return rows.select(F.col("s.each.source").alias("source"), F.col("s.each.tokens").alias("tokens"), "total", F.col("s.shares").alias("share"), "exponent", F.col("s.weights").alias("weight"))
+        exponent = F.when(_entropy(e, F.lit(1.0)) >= target_entropy, 1.0).otherwise(found["low"])
+    return one.withColumn("exponent", exponent).select("exponent", _raised(e, F.col("exponent")).alias("whole"), "total")
+
+
+def solve(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None) -> DataFrame:
+    """source, tokens, total, share, exponent, weight for each source of docs (source, n_tokens); see exponent_of."""
+    per = written(docs.sparkSession, docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "mixing-sources")
+    rows = per.join(F.broadcast(exponent_of(per, target_entropy, max_repetition)))  # one row
+    share = F.when(F.col("tokens") > 0, F.col("tokens") / F.col("total")).otherwise(0.0)
+    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.col("total"), F.col("exponent")) / F.col("whole")).otherwise(0.0)
+    return rows.select("source", "tokens", "total", share.alias("share"), "exponent", weight.alias("weight"))
 
 
 def _order(seed: int, *cols: Column) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
+    """A number of 60 bits for the values: a digest, so that any engine gives the same."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("")) for c in cols))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
@@ -89,25 +104,33 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     """
     weights = solve(docs, target_entropy, max_repetition)
     # one whole pass of the source with the least weight for its tokens
-    least = F.min(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))).over(Window.partitionBy("total"))
-    size = F.lit(float(budget)) if budget is not None else 1.0 / least
+    least = weights.agg(F.min(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))).alias("least"))
+    size = F.lit(float(budget)) if budget is not None else 1.0 / F.col("least")
     target = F.when(F.col("tokens") > 0, F.round(F.col("weight") * size)).otherwise(0).cast("long")
-    plan = weights.withColumn("target_tokens", target if budget is not None else F.greatest(target, F.col("tokens")))
+    plan = weights.join(F.broadcast(least)).withColumn("target_tokens", target if budget is not None else F.greatest(target, F.col("tokens")))  # one row
     plan = plan.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)))
     plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("target_tokens") / F.col("tokens"))).otherwise(1).cast("int"))
     plan = plan.withColumn("rest", F.when(F.col("tokens") > 0, F.col("target_tokens") - F.col("whole") * F.col("tokens")).otherwise(0))
-    per_source = plan.select(F.col("source").alias("_s"), "tokens", "exponent", "weight", "target_tokens", "blocks", "whole", "rest")
+    per_source = written(docs.sparkSession, plan.select(F.col("source").alias("_s"), "tokens", "exponent", "weight", "target_tokens", "blocks", "whole", "rest"), "mixing-plan")
+    if per_source.count() <= BROADCAST_SOURCES:
+        per_source = F.broadcast(per_source)
 
-    rows = docs.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")  # a row per source
-    rows = rows.withColumn("block", F.pmod(_order(seed, F.col("row_key")), F.col("blocks")))
+    key = [F.col(f"row_key.{c}") for c in docs.schema["row_key"].dataType.names] if docs.schema["row_key"].dataType.typeName() == "struct" else [F.col("row_key")]
+    rows = docs.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = rows.withColumn("block", F.pmod(_order(seed, *key), F.col("blocks")))
     passes = F.sequence(F.lit(0), F.col("whole") - F.when(F.col("rest") > 0, 0).otherwise(1))
     rows = rows.filter((F.col("whole") > 0) | (F.col("rest") > 0)).withColumn("pass", F.explode(passes))
 
-    sums = rows.groupBy("source", "pass", "block").agg(F.sum("n_tokens").alias("block_sum"))
-    by_pass = Window.partitionBy("source", "pass").orderBy(_order(seed + 1, F.col("pass"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("_s"), F.col("pass").alias("_p"), F.col("block").alias("_b"), F.coalesce(F.sum("block_sum").over(by_pass), F.lit(0)).alias("block_start"))
+    # where each block begins in its pass: sums within groups of blocks, and over the groups
+    sums = rows.groupBy("source", "pass", "block").agg(F.sum("n_tokens").alias("block_sum")).withColumn("turn", _order(seed + 1, F.col("pass"), F.col("block"))).withColumn("grp", F.shiftright("turn", 60 - GROUP_BITS))
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.sum("block_sum").over(until(Window.partitionBy("source", "pass", "grp").orderBy("turn", "block")))
+    outer = F.sum("group_sum").over(until(Window.partitionBy("source", "pass").orderBy("grp")))
+    groups = sums.groupBy("source", "pass", "grp").agg(F.sum("block_sum").alias("group_sum")).select(F.col("source").alias("_gs"), F.col("pass").alias("_gp"), F.col("grp").alias("_g"), F.coalesce(outer, F.lit(0)).alias("group_start"))
+    starts = sums.withColumn("before", F.coalesce(inner, F.lit(0))).join(groups, F.col("source").eqNullSafe(F.col("_gs")) & (F.col("pass") == F.col("_gp")) & (F.col("grp") == F.col("_g")))
+    starts = starts.select(F.col("source").alias("_s"), F.col("pass").alias("_p"), F.col("block").alias("_b"), (F.col("before") + F.col("group_start")).alias("block_start"))
 
-    inside = Window.partitionBy("source", "pass", "block").orderBy(_order(seed + 2, F.col("pass"), F.col("row_key")), "row_key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = until(Window.partitionBy("source", "pass", "block").orderBy(_order(seed + 2, F.col("pass"), *key), "row_key"))
     rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("pass") == F.col("_p")) & (F.col("block") == F.col("_b")))
     at = F.col("block_start") + F.col("before")
@@ -117,8 +140,16 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A key for each distinct row: equal rows are used together."""
-    return docs.withColumn("row_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("a"), F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("b")))
+    """A key for each distinct row, its id and 120 bits of a digest of its text: equal rows are used together."""
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    half = lambda k: F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("long")
+    return docs.withColumn("row_key", F.struct(F.col("doc_id").alias("id"), half(0).alias("a"), half(1).alias("b")))
+
+
+def _units(docs: DataFrame) -> DataFrame:
+    """row_key, source, n_tokens, copies: what is mixed.  The texts are read once for it."""
+    keyed = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"), "source")).select("row_key", "source", n_tokens(F.col("text")).alias("n"))
+    return written(docs.sparkSession, keyed.groupBy("row_key", "source").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("copies")), "mixing-units")
 
 
 def temperature_mix(docs: DataFrame, **how) -> DataFrame:
@@ -128,16 +159,13 @@ def temperature_mix(docs: DataFrame, **how) -> DataFrame:
     are one unit of the permutation and come out as often as they came in.  An
     empty table gives no row; other columns are ignored.
     """
-    keyed = _keyed(docs.select("doc_id", "text", "source")).select("row_key", "source", n_tokens(F.col("text")).alias("n"))
-    units = keyed.groupBy("row_key", "source").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("copies"))
-    used = mix(units, **how).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return used.select(F.col("row_key.id").alias("doc_id"), "source", "pass", "block", "position", "n_tokens", "exponent", "weight", "target_tokens")
+    used = mix(_units(docs), **how).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return used.select(F.col("row_key.id").alias("doc_id"), "source", "pass", "block", "position", "n_tokens", F.round("exponent", 9).alias("exponent"), F.round("weight", 9).alias("weight"), "target_tokens")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mixture uses it."""
-    units = _keyed(docs.select("doc_id", "text", "source")).select("row_key", "source", n_tokens(F.col("text")).alias("n")).groupBy("row_key", "source").agg(F.sum("n").alias("n_tokens"))
-    times = mix(units, **how).groupBy("row_key", "source").agg(F.count(F.lit(1)).alias("_times")).select(F.col("row_key").alias("_key"), F.col("source").alias("_source"), "_times")
+    times = mix(_units(docs), **how).groupBy("row_key", "source").agg(F.count(F.lit(1)).alias("_times")).select(F.col("row_key").alias("_key"), F.col("source").alias("_source"), "_times")
     keyed = _keyed(docs)
     on = (F.col("row_key.a") == F.col("_key.a")) & (F.col("row_key.b") == F.col("_key.b")) & F.col("row_key.id").eqNullSafe(F.col("_key.id")) & F.col("source").eqNullSafe(F.col("_source"))
     out = keyed.join(times, on).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))

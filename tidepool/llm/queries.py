@@ -12,7 +12,8 @@ from .imatch import fingerprints
 from .jaccard_join import Rule, classes
 from .language_id import identify
 from .language_model import perplexity
-from .mixing import temperature_mix
+from .mixing import BLOCK_TOKENS, temperature_mix
+from .native_sql import mixing_sql, ring_sql
 from .packing import pack
 from .quality_rules import quality
 from .runtime import table
@@ -71,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_temperature_mixing": mixing_sql(2.0, BLOCK_TOKENS, 17),
+    "op3_bounded_load_ring": ring_sql(16, 128),
     "op8_jaccard_join": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
