@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidepool.llm.packing import balance, pack
@@ -189,3 +190,26 @@ def test_what_only_the_second_vocabulary_finds_abnormal_goes(spark):
     b = LANGUAGE_BANDS["en"]  # the first vocabulary has nothing against Spanish that is said to be English
     assert not out["base_failed"].any() and out["fallback_share"][1] <= b.fallback_share and out["chars_per_token"][1] >= b.chars_per_token[0] and out["token_entropy"][1] >= b.entropy
     assert out["kept"].tolist() == [True, False]
+
+
+def test_a_long_text_without_a_boundary_is_quick(spark):
+    """State maps of chunks are composed: letters of one kind, in a period, and at random."""
+    import time
+
+    machine, library = compiled(BYTE), Tokenizer.from_file(BYTE)
+    rnd = random.Random(3)
+    for unit in ("a" * 1000, "abc", "thequickbrownfox", "".join(rnd.choice("etaoinshrdlucmfwyp") for _ in range(1 << 19))):
+        text = (unit * (1 + (1 << 19) // len(unit)))[: 1 << 19]
+        machine.counts(Texts.of([text]))  # compiles the transitions that it takes
+        began = time.perf_counter()
+        got = int(machine.counts(Texts.of([text]))[0])
+        took = time.perf_counter() - began
+        part = text[:40_000]  # the library takes long for more
+        assert machine.ids(Texts.of([part]))[0].tolist() == library.encode(part, add_special_tokens=False).ids
+        assert got > 0 and took < 2, (unit[:20], took)
+
+
+def test_packing_deals_one_id_over_groups(spark):
+    same = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"))
+    rows = pack(same, BYTE, group_rows=1000).groupBy(F.shiftright("sequence_id", 32).alias("g")).agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("t")).collect()
+    assert len(rows) == 30 and all(r.n == -(-r.t // 1024) for r in rows)

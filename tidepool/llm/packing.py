@@ -64,8 +64,8 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_id: int = 0
 
     A document is its ids and then end_id.  Its full stretches of ``capacity``
     are sequences of their own; the rest is packed by ``balance`` in groups
-    dealt by a hash of the id, of about group_rows documents each, so no group
-    grows with the input.  Returns one row per piece: doc_id, start, length,
+    dealt by a hash of the row and its place, of about group_rows documents each,
+    so no group grows with the input, nor with how often an id or a row occurs.  Returns one row per piece: doc_id, start, length,
     ids_crc32 (of the little-endian unsigned 32-bit ids), doc_tokens,
     sequence_id, offset, sequence_cost.  A null text is empty: one piece with
     end_id alone.  Null ids and repeated rows are packed like any other; an
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_id: int = 0
         columns = zip(*rows, strict=True) if rows else [[]] * 8
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _PIECE.split(", ")])
 
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).alias("grp"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id()), F.lit(groups)).alias("grp"))
     kind = src.schema["doc_id"].dataType.simpleString()
     cut = src.mapInArrow(pieces, f"doc_id {kind}, grp long, start long, length long, ids_crc32 long, doc_tokens long, rest binary")
     return cut.groupBy("grp").applyInArrow(packed, _PIECE.replace("doc_id long", f"doc_id {kind}", 1))

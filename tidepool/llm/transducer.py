@@ -39,6 +39,8 @@ import numpy as np
 from .textbatch import Texts
 
 CHUNK = 256
+#: Rounds in which all chunks without a boundary are asked at once.
+SCAN_ROUNDS = 6
 FEW = 48  # so many tokens below a node are looked at one by one
 _NONE = -1
 
@@ -276,21 +278,53 @@ class Transducer:
         state = np.ones(lanes, dtype=np.int32)  # unknown until the first boundary
         for k in range(CHUNK):
             state = emit(k, every, self._step(state * go_on[k], column[k]))
-        # heads: a chunk with a boundary has a constant map, the scan carries it on to the next
+        # a chunk with a boundary has a constant map, which carries over to the next one's head
         head = np.where((go_on == 0).any(axis=0), (go_on == 0).argmax(axis=0), CHUNK)
-        todo = np.flatnonzero(head > 0)
-        while len(todo):
-            can = state[todo - 1] != 1
-            lane, todo = todo[can], todo[~can]
-            now = state[lane - 1]
-            for k in range(int(head[lane].max())):
-                live = head[lane] > k
-                lane, now = lane[live], now[live]
-                now = emit(k, lane, self._step(now, column[k, lane]))
-            full = head[lane] == CHUNK
-            state[lane[full]] = now[full]
+        self._scan(column, np.flatnonzero(head == CHUNK), state)
+        lane = np.flatnonzero(head > 0)
+        now = state[lane - 1]
+        for k in range(int(head[lane].max()) if len(lane) else 0):
+            live = head[lane] > k
+            lane, now = lane[live], now[live]
+            now = emit(k, lane, self._step(now, column[k, lane]))
         out[:] = result.T.ravel()[:n]
 
+    def _scan(self, column: np.ndarray, lanes: np.ndarray, state: np.ndarray) -> None:
+        """Set the states after chunks without a boundary, by composing their state maps.
+
+        A map is known where it was asked for, and equal chunks share theirs.  All
+        chunks are asked at once: at first for what follows a boundary, then for
+        the states that the chunks before them gave.  Few such rounds leave little
+        unknown, as states soon forget where they began; the maps are then
+        composed in order, and only what is still unknown is run by itself.
+        """
+        if not len(lanes):
+            return
+        content = np.unique(column[:, lanes].T, axis=0, return_inverse=True)[1].ravel().tolist()
+        maps: dict[tuple[int, int], int] = {}
+
+        def ask(places: Sequence[int], states: list[int]) -> None:
+            new = {(content[i], s): i for i, s in zip(places, states, strict=True) if (content[i], s) not in maps}
+            if new:
+                lane, now = lanes[list(new.values())], np.array([s for _, s in new], dtype=np.int32)
+                for k in range(CHUNK):
+                    now = self._step(now, column[k, lane]) >> 8
+                maps.update(zip(new, now.tolist(), strict=True))
+
+        chained = np.append(False, lanes[1:] - 1 == lanes[:-1])
+        given = [0] * len(lanes)
+        for _ in range(SCAN_ROUNDS):
+            ask(range(len(lanes)), given)
+            after = np.array([maps[c, s] for c, s in zip(content, given, strict=True)])
+            before = np.where(chained, np.append(0, after[:-1]), state[lanes - 1]).tolist()
+            if before == given:
+                break
+            given = before
+        for i, lane in enumerate(lanes.tolist()):
+            s = int(state[lane - 1])
+            ask([i], [s])
+            state[lane] = maps[content[i], s]
+
     # -- the class machine -------------------------------------------------
 
     def boundaries(self, t: Texts) -> np.ndarray:
