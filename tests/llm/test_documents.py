@@ -63,6 +63,40 @@ def test_mixing_odd_rows(spark):
     assert temperature_mix(empty(spark), max_repetition=2.0).count() == 0
 
 
+def test_exponent_of_many_sources(spark):
+    """Sources of equal size are one entry of what is bisected over."""
+    many = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("source"), F.when(F.col("id") < 2999, 10).otherwise(1000).cast("long").alias("n_tokens"))
+    got = solve(many, max_repetition=5.0).collect()
+    alpha = 1 - math.log(5) / math.log(100)
+    q = [10 / 30_990] * 2999 + [1000 / 30_990]
+    z = sum(x**alpha for x in q)
+    assert len(got) == 3000 and math.isclose(max(r.weight for r in got), q[-1] ** alpha / z, rel_tol=1e-6) and math.isclose(sum(r.weight for r in got), 1, rel_tol=1e-9)
+
+
+def test_sums_by_groups_of_blocks_follow_the_permutation(spark):
+    """Many blocks: each pass is the source's blocks one after another, none cut but the last."""
+    rows = temperature_mix(documents(spark), max_repetition=1.5, block_tokens=50).collect()
+    for s in {r.source for r in rows}:
+        for p in {r["pass"] for r in rows if r.source == s}:
+            own = sorted((r for r in rows if r.source == s and r["pass"] == p), key=lambda r: (r.position, r.n_tokens))
+            assert all(a.position + a.n_tokens == b.position for a, b in zip(own, own[1:], strict=False))
+            turns = [r.block for r in own if r.n_tokens]
+            assert sum(a != b for a, b in zip(turns, turns[1:], strict=False)) == len(set(turns)) - 1
+
+
+@pytest.mark.parametrize("name", ["op2_temperature_mixing", "op3_bounded_load_ring"])
+def test_native_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from tidepool.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, SF)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
 # -- sharding ------------------------------------------------------------------
 
 
@@ -104,6 +138,35 @@ def test_one_hot_text(spark):
     assert assign(empty(spark), 16).count() == 0
 
 
+def test_a_full_shard_cuts_one_group_of_equal_texts(spark):
+    texts = [f"t{i // 3}" for i in range(6000)]
+    shards, groups = {}, defaultdict(set)
+    for n in (16, 17):
+        shards[n] = {r.doc_id: r.shard for r in assign(docs_of(spark, texts), n).collect()}
+    for i, t in enumerate(texts):
+        groups[t].add(shards[16][i])
+    moved = [(shards[16][i], shards[17][i]) for i in range(len(texts)) if shards[16][i] != shards[17][i]]
+    to_new, between = sum(b == 16 for _, b in moved), sum(b != 16 for _, b in moved)
+    assert sum(len(v) > 1 for v in groups.values()) < 0.05 * len(groups)
+    assert to_new == 6000 // 17 and between < 0.05 * len(texts)  # a seventeenth must move; about 2 % more do
+
+
+def test_slack_leaves_more_rows_where_they_were(spark):
+    docs = docs_of(spark, [f"t{i}" for i in range(6000)])
+    a, b = ({r.doc_id: r.shard for r in assign(docs, n, slack=0.25).collect()} for n in (16, 17))
+    assert max(Counter(a.values()).values()) <= math.ceil(375 * 1.25) and {r.law for r in assign(docs, 16, slack=0.25).collect()} == {"bounded"}
+    assert sum(a[i] != b[i] != 16 for i in a) <= 0.005 * len(a)
+
+
+def test_a_hot_text_is_numbered_in_parts(spark):
+    docs = docs_of(spark, ["hot"] * 9000 + [f"t{i}" for i in range(3000)])
+    rows = assign(docs, 16).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 12_000 and all(sorted(v) == list(range(750)) for v in slots.values())
+
+
 # -- fingerprints ------------------------------------------------------------------
 
 
@@ -131,6 +194,65 @@ def test_fingerprints_tell_edits_from_others(spark):
     assert fingerprints(empty(spark)).count() == 0 and fingerprints(docs_of(spark, ["a b c d"])).count() == 1
 
 
+def brute_prints(texts):
+    """Fingerprints by the method's own steps, in Python."""
+    import re
+    import struct
+
+    import xxhash
+
+    from tidepool.llm import imatch
+
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    terms = [list(dict.fromkeys(signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w)) for t in texts]
+
+    def parts(own):
+        out = []
+        for g in range(imatch.GROUPS):
+            h = 42
+            for x in (mine := [x for x in sorted(own) if (x % (1 << 64)) >> 60 == g]):
+                h = xxhash.xxh64(struct.pack("<q", x), seed=h).intdigest()
+            out.append(f"{h:x}" if mine else "-")
+        return ":".join(out)
+
+    def fingerprint(text, own, known):
+        level = max(0, math.floor(math.log2(max(len(own), 1) / (imatch.GROUPS * imatch.TERMS_PER_GROUP))))
+        thin = lambda lst, k: [x for x in lst if (x >> 24) & ((1 << k) - 1) == 0]
+        own = [x for x in thin(own, level) if x in known]
+        whole = xxhash.xxh64(text.encode(), seed=42).intdigest()
+        return f"{level}|{parts(own)}|{parts(thin(own, level + 1))}" if own else f"={whole:x}"
+
+    return terms, fingerprint
+
+
+def test_fingerprints_equal_brute_force(spark):
+    from tidepool.llm import imatch
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    terms, fingerprint = brute_prints(list(texts.values()))
+    df, n = Counter(x for own in terms for x in own), len(texts)
+    known = {x for x, c in df.items() if max(imatch.MIN_DOCS, n * imatch.MIN_SHARE) <= c <= max(imatch.MIN_DOCS, n * imatch.MAX_SHARE)}
+    want = {i: fingerprint(t, own, known) for (i, t), own in zip(texts.items(), terms, strict=True)}
+    rows = fingerprints(docs).collect()
+    assert {r.doc_id: r.fingerprint for r in rows} == want
+    order = sorted(texts)
+    edited = {}
+    for i, k in enumerate(order):
+        t, nxt = texts[k], texts[order[(i + 1) % len(order)]]
+        edited[k] = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+    terms, fingerprint = brute_prints(list(edited.values()))
+    assert {r.doc_id: r.edited_fingerprint for r in rows} == {k: fingerprint(t, own, known) for (k, t), own in zip(edited.items(), terms, strict=True)}
+
+
+def test_fingerprints_by_ids_of_text_and_one_id_for_all(spark):
+    docs = documents(spark).select(F.format_string("k%06d", "doc_id").alias("doc_id"), "text")
+    plain = {r.doc_id: tuple(r)[1:] for r in fingerprints(documents(spark)).collect()}
+    assert {int(r.doc_id[1:]): tuple(r)[1:] for r in fingerprints(docs).collect()} == plain
+    one = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("a b c "), F.col("id") % 9).alias("text"))
+    assert fingerprints(one).count() == 20_000
+
+
 # -- languages ------------------------------------------------------------------
 
 

@@ -11,8 +11,11 @@ move a document by one.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runtime import written
 
@@ -21,8 +24,9 @@ GROUPS = 16
 TERMS_PER_GROUP = 2
 #: The band of document frequencies, as shares of all documents, and its least number of documents.
 MIN_SHARE, MAX_SHARE, MIN_DOCS = 1e-4, 0.2, 2
-#: Documents to a range of ids, in which the next document is looked for, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 1536, 8192
+#: Documents to a range of ids, in which the next document is looked for, and the most ranges:
+#: beyond 100 million documents ranges grow, and their sorts spill.
+RANGE_ROWS, MOST_RANGES = 1536, 1 << 16
 #: A lexicon of at most so many terms (8 bytes each) is broadcast; a larger one is joined by shuffling.
 BROADCAST_TERMS = 2_000_000
 #: What separates words.
@@ -86,15 +90,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.coalesce(met, F.lit(0.0)))
 
 
+def _bounds(docs: DataFrame, ranges: int) -> list:
+    """The least id of each range but the first; ids of any type that can be ordered."""
+    if isinstance(docs.schema["doc_id"].dataType, T.NumericType):
+        return sorted(set(docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100_000)).collect()[0][0] or []))
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").repartitionByRange(ranges, "doc_id")
+    return sorted(r.least for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least")).collect())[1:]  # an id per range
+
+
 def _in_ranges(docs: DataFrame) -> DataFrame:
     """Rows with a range of ids each, and in every range, marked as ghost, the first row of the next.
 
     So each row's successor in order of id is in its own range.  The last range
-    gets the first row of all.
+    gets the first row of all.  The bounds are one literal of the plan.
     """
     ranges = min(MOST_RANGES, max(2, -(-docs.count() // RANGE_ROWS)))
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100_000)).collect()[0][0] or []))
-    cut = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
+    bounds, kind = _bounds(docs, ranges), docs.schema["doc_id"].dataType
+    text = json.dumps(bounds, default=str)
+    cut = F.from_json(F.lit(text), T.ArrayType(kind))
     # how many bounds are not above the id, by halving steps; a null id has none
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length())))) if bounds else F.array().cast("array<int>")
     place = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cut, at + step - 1) <= F.col("doc_id"), step).otherwise(0))
@@ -102,7 +115,9 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
     heads = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("head"))  # a row per range
     every = Window.orderBy("range")
     whole = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ghosts = heads.select("head.doc_id", "head.text", F.coalesce(F.lag("range").over(every), F.max("range").over(whole)).alias("range"), F.lit(True).alias("ghost"))
+    # only numbers of ranges meet in one task
+    goes_to = ranged.select("range").distinct().select(F.col("range").alias("own"), F.coalesce(F.lag("range").over(every), F.max("range").over(whole)).alias("to"))
+    ghosts = heads.join(F.broadcast(goes_to), F.col("range") == F.col("own")).select("head.doc_id", "head.text", F.col("to").alias("range"), F.lit(True).alias("ghost"))  # MOST_RANGES rows at most
     return ranged.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
 
