@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame that is written and read again before the next one.  All
 but the last return the columns of documents.
+
+A document with a null text or without words is gone after the first stage.  A null
+id is no reason to go, and rows without an id are nobody's near duplicates.
+Repeated rows stay together until the third stage leaves one of them.  An
+empty table gives no row in any stage; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from tidepool.llm.mixing import mixed_documents
 from tidepool.llm.packing import pack
 from tidepool.llm.queries import tokenizer_path
 from tidepool.llm.quality_rules import keep_good
-from tidepool.llm.runtime import shared_dir, table
+from tidepool.llm.runtime import dropped, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +68,13 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/tidepool/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/tidepool/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if before is not None:
+                dropped(spark, before)  # the stage that read it is written
+            before = docs
     return docs
