@@ -14,7 +14,7 @@ from .runtime import written
 #: The ring is 2**CELL_BITS cells, more for many shards; a virtual node stands at the end of a cell.
 CELL_BITS = 11
 #: A text with more rows than these (and than a ten-thousandth of all) is numbered in SALTS parts, so that it is many tasks' work.
-HOT_ROWS, SALTS = 5_000, 64
+HOT_ROWS, SALTS = 1_000, 64
 
 
 def cell_bits(shards: int, virtual_nodes: int) -> int:

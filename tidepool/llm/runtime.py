@@ -61,7 +61,7 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 
 #: A key with more than this share of all rows is hot, so there are at most as many hot keys as its inverse.
-HOT_SHARE, HOT_ROWS = 1e-4, 5_000
+HOT_SHARE, HOT_ROWS = 1e-4, 1_000
 
 
 def looked_up(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
