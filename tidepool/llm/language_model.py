@@ -393,8 +393,12 @@ def train(docs: DataFrame, order: int = 2, range_tokens: int = RANGE_TOKENS) ->
         r = group.column("part")[0].as_py()
         start, end = int(bounds[r]), int(bounds[r + 1]) if r + 1 < ranges else offsets[-1]
         save(folder, f"pair-{r}.keys", keys.astype("<u8"))
-        _save_counts(folder, f"pair-{r}", counts)
-        _save_firsts(folder, r, (keys >> np.uint64(32)).astype(np.int64) - start, counts, end - start)
+        first = (keys >> np.uint64(32)).astype(np.int64)
+        if order == 2:
+            _save_counts(folder, f"pair-{r}", counts)
+            _save_firsts(folder, r, first - start, counts, end - start)
+        else:  # of own counts only those at the begin of a text are needed
+            save(folder, f"open-{r}.counts", counts[first == _opened(model).look_up(np.array([BEGIN]))[0][0]].astype("<u8"))
         second, after = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
         return after_runs(second, after, bounds.astype(np.uint64), [r, len(keys), *_of_counts(counts)])
 
@@ -476,12 +480,11 @@ def train(docs: DataFrame, order: int = 2, range_tokens: int = RANGE_TOKENS) ->
             n = np.sum(group.column("n").to_pylist(), axis=0).tolist()
         else:
             keys, counts = _merged(group)
-            pairs, own, big = (load(folder, f"pair-{r}.{n}", k) for n, k in (("keys", "<u8"), ("counts", "u1"), ("big", "<u8")))
+            pairs, own = load(folder, f"pair-{r}.keys", "<u8"), load(folder, f"open-{r}.counts", "<u8")
             first = (pairs >> np.uint64(32)).astype(np.int64)
             near = np.zeros(len(pairs), dtype=np.uint64)
             near[np.searchsorted(pairs, keys)] = counts
-            opening = np.flatnonzero(first == _opened(model).look_up(np.array([BEGIN]))[0][0])
-            near[opening] = _exact(own, big, opening).astype(np.uint64)
+            near[first == _opened(model).look_up(np.array([BEGIN]))[0][0]] = own
             start, end = int(bounds[r]), int(bounds[r + 1]) if r + 1 < ranges else offsets[-1]
             _save_counts(folder, f"near-{r}", near)
             _save_firsts(folder, r, first - start, near, end - start)
