@@ -4,10 +4,11 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import corpus_pipeline
+import pytest
 from tidepool.llm.quality_rules import quality
 from tidepool.llm.queries import tokenizer_path
 
-from .cases import SF
+from .cases import SF, empty, odd, odd_rows
 
 
 def test_stages(spark, tmp_path):
@@ -59,3 +60,30 @@ def test_near_duplicates_go_by_five_words_and_four_fifths(spark):
     want = least_of_groups(rows, 5, 80)
     assert want < least_of_groups(rows, 4, 85)  # the table tells the two rules apart
     assert {r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, "").select("doc_id").collect()} == want
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_take_odd_rows_and_empty_tables(spark, name, stage):
+    """Each stage by itself, so that odd rows get to the later ones too."""
+    docs = odd(spark)
+    rows = Counter(map(tuple, docs.collect()))
+    out = stage(spark, docs, SF)
+    got = out.collect()
+    assert stage(spark, empty(spark), SF).count() == 0
+    if name == "packing":
+        ends = Counter(repr(r.doc_id) for r in got if r.start + r.length == r.doc_tokens)
+        assert ends == Counter(repr(r[0]) for r in odd_rows())
+        return
+    assert out.columns == docs.columns and set(map(tuple, got)) <= set(rows)
+    kept = Counter(map(tuple, got))
+    if name == "quality_rules":
+        assert kept <= rows and not any((r.text or "").strip() == "" for r in got)
+    elif name == "language_id":
+        assert kept <= rows and not any(r.text is None for r in got)
+    elif name == "jaccard_join":
+        ids = [r.doc_id for r in got if r.doc_id is not None]
+        assert kept <= rows and len(ids) == len(set(ids)) and 24 not in ids and 23 not in ids
+        assert sum(r.doc_id is None for r in got) == sum(r[0] is None for r in odd_rows())
+        assert {20, 21, 22, 29} <= set(ids)  # without words: linked with nothing
+    else:
+        assert set(kept) == set(rows) and all(rows[r] <= n <= 2 * rows[r] for r, n in kept.items())

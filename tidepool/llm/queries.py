@@ -28,42 +28,52 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: words, symbols, repeats, the measures of both vocabularies and the verdict; without a word the base rule fails it."""
     return quality(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and pass that the budget takes, no source more than twice; a null source is a source of its own."""
     return temperature_mix(table(spark, sf_dir, "documents"), max_repetition=2.0)
 
 
 def op3_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its shard of 16 and gapless slot under the law `rows`; a null text has size 1."""
     return assign(table(spark, sf_dir, "documents"), shards=16)
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: fingerprints of its text and of its edited text, and their likenesses; a null text is empty."""
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: the language predicted and its probability; `und` for a text without letters."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its bytes, tokens and whether they are over 1024; a null text is empty."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece of a document in a sequence of 1024 tokens; a null or empty text is one token, its end."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: the size of its set and the smallest id of its component; a text without words is linked with nothing."""
     return classes(table(spark, sf_dir, "documents"), Rule(words=4, percent=85))
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its tokens, the base score and the trigram model's; a null text is one token, its end."""
     return perplexity(table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page: its main text, empty if it has none."""
     return extract(table(spark, sf_dir, "pages"))
 
 
