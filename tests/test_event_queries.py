@@ -66,6 +66,32 @@ def test_write_batches_are_exact(spark):
     assert sorted((r.write_batch, r["count"]) for r in got) == [(0, 20), (1, 20), (2, 10)]
 
 
+def test_batches_of_rows_whose_other_columns_are_read(spark):
+    """Counts and rows are read by two branches of the plan; both must cut the same ranges."""
+    n = 200_000
+    events = spark.range(0, n, 1, 12).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("key"))
+    got = journal.write_batches(events, 200).withColumn("wrong", F.col("write_batch") != F.floor(F.col("seq") / 200))
+    r = got.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wrong").cast("int")).alias("wrong"), F.max("key")).collect()[0]
+    assert (r.n, r.wrong) == (n, 0)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "timestamp", "decimal(20,0)"])
+def test_places_with_ties_and_nulls(spark, kind):
+    value = F.col("n").cast(kind) if kind != "timestamp" else F.timestamp_seconds("n")
+    data = [(f"k{i:03d}", i % 3, None if i % 10 == 0 else 5 if i % 3 == 0 else i * 37 % 100) for i in range(300)]
+    df = spark.createDataFrame(data, "key string, band int, n int").withColumn("score", value)
+    got = {(r.band, r.key): r._place for r in journal.numbered(df, ["score", "key"], ["band"]).collect()}
+    order = (lambda v: (v is not None, str(v))) if kind == "string" else (lambda v: (v is not None, v or 0))
+    for band in range(3):
+        want = sorted((r for r in data if r[1] == band), key=lambda r: (order(r[2]), r[0]))
+        assert [got[band, k] for k, _, _ in want] == list(range(100))
+
+
+def test_no_rows_have_no_places(spark):
+    assert journal.write_batches(rows(spark, ("k", "x")).filter("false"), 5).collect() == []
+    assert journal.flush_chunks(journal.with_band(rows(spark, ("k", "x")).filter("false"), 4), 5, "seq").collect() == []
+
+
 def test_expired_and_empty_payloads_go(spark):
     df = spark.sql("select * from values ('a', 'x', timestamp'2024-01-01 00:00:00'), ('b', '', timestamp'2024-01-01 00:00:59'), ('c', 'x', timestamp'2024-01-01 00:00:59'), ('d', null, timestamp'2024-01-01 00:00:59') t(key, payload, ts)")
     got = journal.unexpired(df, 30_000, F.expr("timestamp'2024-01-01 00:01:00'"))

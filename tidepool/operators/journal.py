@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.functions import band_of, epoch_ms
 
@@ -42,18 +43,42 @@ def with_band(rows: DataFrame, bands: int, key: str = "key") -> DataFrame:
     return rows.withColumn("band", band_of(F.col(key), bands))
 
 
-def write_batches(events: DataFrame, size: int, seq: str = "seq") -> DataFrame:
-    """Number the events in arrival order and deal them to batches of ``size``.
+def _cuts(rows: DataFrame, column: str, parts: int) -> list:
+    """Values that cut the rows into at most ``parts`` ranges of about equal size."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        found = rows.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)] or [1.0], max(10_000, 10 * parts))).collect()[0][0]
+        return sorted(set(found or []))
+    ranged = rows.select(column).filter(F.col(column).isNotNull()).repartitionByRange(parts, column)
+    return sorted({r.least for r in ranged.groupBy(F.spark_partition_id()).agg(F.min(column).alias("least")).collect()})
+
 
-    The order is global but no task sees it whole: events are cut into ranges
-    of ``seq``, numbered within a range, and shifted by the counts before it.
+def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Add ``_place``, a row's place from 0 in its group, without a task that sees a whole group.
+
+    Rows are numbered within ranges of the first column of ``order`` and shifted
+    by the counts of the ranges before.  The ranges' bounds are found first and
+    are literals of the plan: the counts and the rows are read by different
+    branches, and a lost executor's tasks are run again, so a partition's number
+    would not do.  There is a count for each group and range; groups are few.
+    Rows equal in the first column share a range.  Nulls are numbered first.
     """
-    ranged = events.repartitionByRange(F.col(seq)).withColumn("_part", F.spark_partition_id())
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(seq)) - 1
-    numbered = ranged.withColumn("_place", place).join(F.broadcast(shift), "_part")  # a row per partition
-    return numbered.withColumn("write_batch", F.floor((F.col("_place") + F.col("_shift")) / size)).drop("_part", "_place", "_shift")
+    by = by or []
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _cuts(rows, order[0], parts)
+    bounds = F.array(*(F.lit(c) for c in cuts)).cast(T.ArrayType(rows.schema[order[0]].dataType))
+    # how many bounds are not above the value, by halving steps
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length())))).cast("array<int>")
+    ranged = rows.withColumn("_range", F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(bounds, at + step - 1) <= F.col(order[0]), step).otherwise(0)))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranged.groupBy(*by, "_range").count().select(*by, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) - 1
+    return ranged.withColumn("_own", own).join(shift, [*by, "_range"]).withColumn("_place", F.col("_own") + F.col("_shift")).drop("_own", "_range", "_shift")
+
+
+def write_batches(events: DataFrame, size: int, seq: str = "seq") -> DataFrame:
+    """Number the events in arrival order and deal them to batches of ``size``."""
+    return numbered(events, [seq]).withColumn("write_batch", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def depth(rows: DataFrame) -> DataFrame:
@@ -92,8 +117,7 @@ def attach_payload(pending: DataFrame, payloads: DataFrame, key: str = "key") ->
 
 def flush_chunks(rows: DataFrame, size: int, score: str, key: str = "key") -> DataFrame:
     """Deal the rows of each band, oldest first, to bulk calls of at most ``size``."""
-    order = Window.partitionBy("band").orderBy(score, key)
-    return rows.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))
+    return numbered(rows, [score, key], ["band"]).withColumn("chunk", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def flush_windows(events: DataFrame, width: str, key: str = "key", seq: str = "seq", ts: str = "ts") -> DataFrame:
