@@ -46,16 +46,21 @@ class StateTable:
         names = sorted(s.getPath().getName() for s in fs.listStatus(p))
         return [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
 
+    def newest(self) -> str | None:
+        have = self._versions()
+        return have[-1] if have else None
+
     def read(self) -> DataFrame | None:
         began, have = time.monotonic(), self._versions()
         out = self.spark.read.parquet(f"{self.path}/{have[-1]}") if have else None
         self.metrics.journal("read", time.monotonic() - began)
         return out
 
-    def replace(self, rows: DataFrame) -> None:
+    def replace(self, rows: DataFrame) -> str:
         began, have = time.monotonic(), self._versions()
         n = int(have[-1][1:13]) + 1 if have else 1
-        rows.write.parquet(f"{self.path}/v{n:012d}-{uuid.uuid4().hex[:8]}")
+        made = f"v{n:012d}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.path}/{made}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         for s in fs.listStatus(path(self.path)):
@@ -63,6 +68,7 @@ class StateTable:
             if name.startswith("v") and int(name[1:13]) < n - 1:
                 fs.delete(s.getPath(), True)
         self.metrics.journal("replace", time.monotonic() - began)
+        return made
 
 
 class Engine:
@@ -86,6 +92,7 @@ class Engine:
         self._thread: threading.Thread | None = None
         self._lock = threading.RLock()
         self._flushed = time.monotonic()
+        self._empty: str | None = None  # the version of ``pending`` known to hold nothing
 
     @classmethod
     def named(cls, namespace: str) -> Engine:
@@ -154,7 +161,8 @@ class Engine:
         began, s = time.monotonic(), self.settings
         with self._lock:
             events = batch.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT.fields))
-            held = self.pending.read()
+            newest = self.pending.newest()
+            held = self.pending.read() if newest is not None and newest != self._empty else None
             if held is not None:
                 events = held.select(*EVENT.names).unionByName(events)
             latest = coalesce_latest(ingest(events))
@@ -163,11 +171,16 @@ class Engine:
             due, rest = self._due(latest, batch_id)
             shaped = self.contract.apply(due).persist()
             try:
-                self.metrics.write(*batch.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("key").isNull() | (F.col("key") == ""), 1)), F.lit(0))).collect()[0])
+                if self._heard("write"):  # the source is read once more for it
+                    self.metrics.write(*batch.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("key").isNull() | (F.col("key") == ""), 1)), F.lit(0))).collect()[0])
                 self._flush(shaped, rest, batch_id, began)
             finally:
                 shaped.unpersist()
 
+    def _heard(self, measure: str) -> bool:
+        """Whether the recorder does anything with a measure that costs a job."""
+        return getattr(type(self.metrics), measure) is not getattr(Metrics, measure)
+
     def _due(self, latest: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame | None]:
         """What is flushed now and what stays pending: bands are due by depth, and all of them by time.
 
@@ -176,7 +189,7 @@ class Engine:
         """
         s = self.settings
         banded = with_band(latest, s.bands)
-        if type(self.metrics).depth is not Metrics.depth:
+        if self._heard("depth"):
             self.metrics.depth({r.band: r.depth for r in depth(banded).collect()})  # a row per band
         if s.volume is None or batch_id < 0:
             return latest, None
@@ -201,12 +214,12 @@ class Engine:
     def _flush(self, shaped: DataFrame, rest: DataFrame | None, batch_id: int, began: float) -> None:
         good, bad = shaped.filter("ok"), shaped.filter(~F.col("ok"))
         dead = bad.select(*EVENT.names, F.lit(CONTRACT_VIOLATION).alias("reason"))
-        n_bad = bad.count()
+        n = {r.ok: r["count"] for r in shaped.groupBy("ok").count().collect()}  # two rows
+        n_bad, rows, n_doubled = n.get(False, 0), n.get(True, 0), 0
         if n_bad:
             self.metrics.contract_error(n_bad)
             self.metrics.dead_letter(n_bad, CONTRACT_VIOLATION)
             self._tell(bad.select("key"), None, ValueError(CONTRACT_VIOLATION))
-        rows = good.count()
         result, error, later = BulkResult(), None, good.select(*EVENT.names).limit(0)
         try:
             if rows:
@@ -216,25 +229,31 @@ class Engine:
         if result.errors is not None:
             wrong = result.errors.select("key", "code").distinct()
             doubled = good.join(wrong.filter(F.col("code") == DUPLICATE_CODE), "key", "left_semi")
-            self.metrics.dead_letter(doubled.count(), DUPLICATE_KEY)
+            n_doubled = doubled.count()
+            self.metrics.dead_letter(n_doubled, DUPLICATE_KEY)
             dead = dead.unionByName(doubled.select(*EVENT.names, F.lit(DUPLICATE_KEY).alias("reason")))
             later = good.join(wrong.filter(F.col("code") != DUPLICATE_CODE), "key", "left_semi").select(*EVENT.names)
-        self._bury(dead)
+        self._bury(dead, n_bad + n_doubled)
         if rest is not None:
             later = later.unionByName(rest)
-        self.pending.replace(later)
-        self.metrics.pending(self.pending.read().count())
+        nothing = error is None and result.errors is None and rest is None
+        if not nothing or self._empty is None or self.pending.newest() != self._empty:
+            made = self.pending.replace(later)
+            self._empty = made if nothing else None
+        if self._heard("pending"):
+            self.metrics.pending(0 if nothing else self.pending.read().count())
         self.metrics.flush(rows, time.monotonic() - began, error is None)
         if rows:
             self._tell(good.select("key"), result, error)
 
-    def _bury(self, dead: DataFrame) -> None:
+    def _bury(self, dead: DataFrame, n: int) -> None:
         """Add dead letters; a key that dies again keeps its latest letter, and old ones go."""
+        if not n:
+            return
         fresh = dead.withColumn("failed_at", F.current_timestamp())
         old = self._letters()
-        if not fresh.isEmpty():
-            every = fresh if old is None else old.unionByName(fresh)
-            self.letters.replace(coalesce_latest(every))
+        every = fresh if old is None else old.unionByName(fresh)
+        self.letters.replace(coalesce_latest(every))
 
     def _letters(self) -> DataFrame | None:
         """The dead letters whose time isn't over."""
